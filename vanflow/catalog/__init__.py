@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ("imports",)
+SECTIONS = ("imports", "demand")
 
 
 def _collect(attribute: str) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,20 +27,24 @@ def fixed(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", c.cast("double"))
 
 
+# fixed patterns of the holiday-name normaliser, applied in this order
+_PARENTHESES = r"\s*\([^)]*\)"
+_HOLIDAY_SUFFIX = r"(?i)\s*holiday\s*$"
+_APOSTROPHES = "['\u2019]"
+_NON_SLUG = "[^a-z0-9]+"
+
+
 def slug(c: Column) -> Column:
     """Lower-case name with runs of other characters collapsed to underscores."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\([^)]*\)", "")
-    text = F.regexp_replace(text, r"(?i)\s*holiday\s*$", "")
-    text = F.regexp_replace(text, "['’]", "")
-    text = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_")
-    return F.regexp_replace(text, "^_+|_+$", "")
+    text = F.coalesce(c, F.lit(""))
+    for pattern in (_PARENTHESES, _HOLIDAY_SUFFIX, _APOSTROPHES):
+        text = F.regexp_replace(text, pattern, "")
+    text = F.regexp_replace(F.lower(text), _NON_SLUG, "_")
+    return F.btrim(text, F.lit("_"))
 
 
 def slug_text(name: str) -> str:
     """The same slug for a configured (non-column) name."""
-    import re
-
-    text = re.sub(r"\s*\([^)]*\)", "", name)
-    text = re.sub(r"(?i)\s*holiday\s*$", "", text)
-    text = re.sub("['’]", "", text).lower()
-    return re.sub("[^a-z0-9]+", "_", text).strip("_")
+    for pattern in (_PARENTHESES, _HOLIDAY_SUFFIX, _APOSTROPHES):
+        name = re.sub(pattern, "", name)
+    return re.sub(_NON_SLUG, "_", name.lower()).strip("_")
