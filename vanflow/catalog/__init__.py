@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ("imports", "demand")
+SECTIONS = ("imports", "demand", "forecast")
 
 
 def _collect(attribute: str) -> dict:

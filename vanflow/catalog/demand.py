@@ -12,7 +12,7 @@ from vanflow.config import DEMAND
 from vanflow.operators import classify, features, panel
 from vanflow.sources import fixtures as fx
 
-# nation x brand by month: all four demand classes occur
+# nation x type by month: all four demand classes occur
 MONTHLY = replace(
     DEMAND, granularity="M", max_inactivity_periods=6, test_horizon=6, validation_horizon=6,
     forecast_horizon=6,
@@ -28,7 +28,7 @@ DAILY = DEMAND
 
 
 def monthly_sales(s, d):
-    return fx.sales_recent(s, d, "nation", "brand")
+    return fx.sales_recent(s, d, "nation", "type")
 
 
 def weekly_sales(s, d):
@@ -61,13 +61,6 @@ def monthly_classes(s, d):
     return classify.classify_dataset(monthly_train(s, d), MONTHLY)
 
 
-def weekly_classes(s, d):
-    train = panel.train_window(
-        weekly_panel(s, d), WEEKLY, panel.latest_period(weekly_sales(s, d), WEEKLY)
-    )
-    return classify.classify_dataset(train, WEEKLY)
-
-
 def holiday_calendar(s, d):
     """Regional anniversaries: one combined entry per region and year."""
     region = fx.table(s, d, "region")
@@ -86,16 +79,16 @@ def _features(df, names):
     return rounded(df.select(*DEMAND.group_keys, DEMAND.date_col, *names))
 
 
-def _weekly_features(s, d):
-    return features.class_features(weekly_panel(s, d), weekly_classes(s, d), WEEKLY)
+def _class_features(s, d):
+    return features.class_features(monthly_panel(s, d), monthly_classes(s, d), MONTHLY)
 
 
 def _feature_list(s, d):
     df = features.build_features(
-        weekly_panel(s, d), weekly_classes(s, d), WEEKLY, weekly_panel(s, d),
+        monthly_panel(s, d), monthly_classes(s, d), MONTHLY, monthly_train(s, d),
         features.holiday_names(holiday_calendar(s, d)),
     )
-    cols = features.feature_columns(df, WEEKLY)
+    cols = features.feature_columns(df, MONTHLY)
     one = df.agg(*[F.count(c).alias(c) for c in cols])
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("filled_rows")) for c in cols])))
@@ -174,7 +167,7 @@ def panel_sql(gran: str, route: str, item: str) -> tuple[str, ...]:
     )
 
 
-PANEL_M = panel_sql("M", "nation", "brand")
+PANEL_M = panel_sql("M", "nation", "type")
 PANEL_W = panel_sql("W", "region", "brand")
 PANEL_D = panel_sql("D", "region", "type")
 M_TEST = "(SELECT MAX(TrxDate) FROM panel) - INTERVAL 5 MONTH"
@@ -241,7 +234,7 @@ _NUMBERED = f"numbered AS (SELECT *, row_number() {_W} AS rn FROM panel)"
 
 
 def _class_features_sql() -> str:
-    cfg = WEEKLY
+    cfg = MONTHLY
     parts = []
     for n in (1, 7, 14, 21, 28):
         users = [c for c, lags in cfg.lags.items() if n in lags]
@@ -257,7 +250,7 @@ def _class_features_sql() -> str:
         cols[name] = f"CASE WHEN class IN ({names}) THEN {expr} END" if users else "NULL"
     cols["pair_history_len"] = "COUNT(y) OVER (PARTITION BY RouteCode, ItemCode)"
     return (
-        sb.with_(*PANEL_W, TRAIN_W, CLASSES, _NUMBERED,
+        sb.with_(*PANEL_M, TRAIN_M, CLASSES, _NUMBERED,
                  "cp AS (SELECT numbered.*, class FROM numbered JOIN classes USING (RouteCode, ItemCode))")
         + _select(cols, "cp").replace(f"SELECT {_K}", f"SELECT {_K}, class")
     )
@@ -345,7 +338,7 @@ QUERIES = {
     "D10_holiday_names": lambda s, d: features.holiday_names(holiday_calendar(s, d)),
     "D11_event_flags": _event_query,
     "D12_target_encoding": _encoding,
-    "D13_class_features": lambda s, d: _features(_weekly_features(s, d), _CLASS_COLS),
+    "D13_class_features": lambda s, d: _features(_class_features(s, d), _CLASS_COLS),
     "D14_feature_columns": _feature_list,
 }
 

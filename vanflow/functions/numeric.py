@@ -53,7 +53,7 @@ def percentiles_by_key(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    aggs = [F.percentile(value, float(p), "_n").alias(name) for name, p in named.items()]
+    aggs = [F.percentile(value, float(p), F.col("_n")).alias(name) for name, p in named.items()]
     return counts.groupBy(*keys).agg(*aggs)
 
 
