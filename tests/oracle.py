@@ -92,7 +92,7 @@ def main():
             else:
                 problem, n = None, len(df.collect())
         except Exception as exc:  # report and go on with the next query
-            problem, n = f"{type(exc).__name__}: {str(exc)[:1200]}", -1
+            problem, n = f"{type(exc).__name__}: {str(exc)[:400]}", -1
         tag = "FAIL" if problem else ("ok  " if name in oracles else "rows")
         failures += bool(problem)
         print(f"{tag} {name} rows={n} {time.time() - t0:.1f}s {problem or ''}", flush=True)

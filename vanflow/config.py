@@ -170,8 +170,8 @@ class Splits:
 
     hot_key_splits: int = 32
     similarity_block: int = 2048
-    item_block: int = 1024
-    customer_chunk: int = 4096
+    item_block: int = 512
+    customer_chunk: int = 1024
 
 
 DEMAND = DemandConfig()
