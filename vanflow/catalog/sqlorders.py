@@ -151,3 +151,94 @@ sc AS (SELECT *, {sb.rint('''greatest(0, least(100, ((0.30 + tt * 0.25::DOUBLE)
     + (0.30 - tt * 0.10::DOUBLE) * consistency) * 100))''', 2)} AS priority FROM s1)"""
 
 SCORED = (*CALIBRATION, GAPS, SCORES)
+
+VAN = f"""van0 AS (SELECT RouteCode, ItemCode, SUM(Predicted) AS a, SUM(CASE WHEN DataSplit = 'Forecast' THEN Predicted END) AS f,
+    MAX(CASE WHEN DataSplit = 'Forecast' THEN 1 ELSE 0 END) AS has_f
+  FROM fcst WHERE DemandProbability >= 0.99 AND TrxDate = {T} GROUP BY ALL),
+van AS (SELECT RouteCode, ItemCode, CAST({sb.rint('''greatest(CASE WHEN rh = 1 THEN f ELSE a END, 0)''')} AS INT) AS van_qty
+  FROM (SELECT *, MAX(has_f) OVER (PARTITION BY RouteCode) AS rh FROM van0)
+  WHERE {sb.rint('''greatest(CASE WHEN rh = 1 THEN f ELSE a END, 0)''')} > 0),
+jc AS (SELECT DISTINCT RouteCode, CustomerCode FROM journey WHERE JourneyDate = {T}),
+top5 AS (SELECT *, row_number() OVER (PARTITION BY RouteCode ORDER BY van_qty DESC, ItemCode) AS van_rank FROM van
+  QUALIFY row_number() OVER (PARTITION BY RouteCode ORDER BY van_qty DESC, ItemCode) <= 5)"""
+
+PEERS = f"""lk AS (SELECT {P}, SUM(exp(-greatest(date_diff('day', TrxDate, {T}), 0) / greatest(recency_half_life_days, 1))) AS weight,
+    AVG(TotalQuantity) AS mean_qty FROM hist JOIN cal USING (RouteCode) GROUP BY ALL),
+nrm AS (SELECT RouteCode, CustomerCode, sqrt(SUM(weight * weight)) AS nm FROM lk GROUP BY ALL),
+un AS (SELECT {P}, weight / nm AS u FROM lk JOIN nrm USING (RouteCode, CustomerCode)),
+sims AS (SELECT RouteCode, CustomerCode, peer, {sb.rint('dot', 9)} AS sim FROM (
+  SELECT a.RouteCode, a.CustomerCode, b.CustomerCode AS peer, SUM(a.u * b.u) AS dot FROM un a
+    JOIN jc ON jc.RouteCode = a.RouteCode AND jc.CustomerCode = a.CustomerCode
+    JOIN un b ON a.RouteCode = b.RouteCode AND a.ItemCode = b.ItemCode AND a.CustomerCode <> b.CustomerCode GROUP BY 1, 2, 3)),
+near20 AS (SELECT *, row_number() OVER (PARTITION BY RouteCode, CustomerCode ORDER BY sim DESC, peer) AS peer_rank FROM sims
+  WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY RouteCode, CustomerCode ORDER BY sim DESC, peer) <= 20),
+prs AS (SELECT near20.* FROM near20 JOIN cal USING (RouteCode) WHERE peer_rank <= peer_k),
+pp AS (SELECT prs.RouteCode, prs.CustomerCode, lk.ItemCode, van_qty, sim, weight, mean_qty FROM prs
+  JOIN lk ON lk.RouteCode = prs.RouteCode AND lk.CustomerCode = prs.peer
+  JOIN van ON van.RouteCode = lk.RouteCode AND van.ItemCode = lk.ItemCode),
+pmed AS (SELECT {P}, MIN(mean_qty) AS median_qty FROM (SELECT *, SUM(sim) OVER (PARTITION BY {P} ORDER BY mean_qty, sim ROWS UNBOUNDED PRECEDING) AS cum,
+    SUM(sim) OVER (PARTITION BY {P}) AS tot FROM pp) WHERE cum * (1 + 1e-9) >= tot / 2 GROUP BY ALL),
+psc AS (SELECT {P}, van_qty, {sb.rint('SUM(sim * weight) / SUM(sim)', 9)} AS peer_score, COUNT(*) AS peer_buyers FROM pp GROUP BY {P}, van_qty),
+pfl AS (SELECT RouteCode, CustomerCode, {clamp('greatest(0.05::DOUBLE, quantile_cont(peer_score, 0.75))', 0.05, 0.5)} AS score_floor
+  FROM psc WHERE peer_score > 0 GROUP BY ALL),
+prk AS (SELECT psc.*, score_floor, median_qty, row_number() OVER (PARTITION BY psc.RouteCode, psc.CustomerCode ORDER BY peer_score DESC, psc.ItemCode) AS item_rank
+  FROM psc JOIN pfl USING (RouteCode, CustomerCode) JOIN pmed USING ({P}) WHERE peer_score > 0 AND peer_score >= score_floor),
+ptop AS (SELECT prk.*, tier_consider, tier_should_stock FROM prk JOIN cal USING (RouteCode) WHERE item_rank <= peer_max),
+plane AS (SELECT {P}, 'peer' AS source, 1 AS lane, CAST(least(van_qty, greatest(1, {sb.rint('median_qty')})) AS INT) AS qty,
+    {sb.rint('tier_consider + least(1, peer_score) * (tier_should_stock - tier_consider)', 2)} AS priority, van_qty,
+    median_qty AS avg_qty, 0 AS days_since, 0 AS cycle_days, {sb.rint('peer_score * 100', 1)} AS frequency_pct, 0.5 AS pattern_quality,
+    0 AS purchase_count, 1.0 AS trend_factor, 0.0 AS churn_probability FROM ptop WHERE median_qty > 0)"""
+
+HISTORY_LANE = f"""hl0 AS (SELECT sc.*, van_qty, priority * trend_factor AS raw_score,
+    CASE WHEN weighted_qty * trend_factor > 0 THEN CAST(least(greatest(1, {sb.rint('weighted_qty * trend_factor * 0.975::DOUBLE')}), van_qty) AS INT) ELSE 0 END AS rq
+  FROM sc JOIN jc USING (RouteCode, CustomerCode) JOIN van ON van.RouteCode = sc.RouteCode AND van.ItemCode = sc.ItemCode),
+hpick AS (SELECT * FROM hl0 WHERE days_since > 1 AND frequency >= frequency_floor AND days_since / cycle_days >= completion_gate
+  AND raw_score >= tier_monitor AND rq > 0),
+hlane AS (SELECT {P}, 'history' AS source, 0 AS lane, rq AS qty, {sb.rint('raw_score', 2)} AS priority, van_qty, avg_qty, days_since, cycle_days,
+    {sb.rint('frequency * 100', 1)} AS frequency_pct, {sb.rint('pattern_quality', 2)} AS pattern_quality, purchase_count,
+    {sb.rint('trend_factor', 2)} AS trend_factor, 0.0 AS churn_probability FROM hpick)"""
+
+BASKET = f"""hbi AS (SELECT {P}, AVG(TotalQuantity) AS mean_qty FROM hist GROUP BY ALL),
+hnb AS (SELECT RouteCode, ItemCode, COUNT(*) AS buyers FROM hbi GROUP BY ALL),
+hco AS (SELECT a.RouteCode, a.ItemCode AS anchor, b.ItemCode AS item, buyers, COUNT(*) AS both_n,
+    quantile_cont(CAST(b.mean_qty AS DOUBLE), 0.5) AS median_qty FROM hbi a
+  JOIN hbi b ON a.RouteCode = b.RouteCode AND a.CustomerCode = b.CustomerCode AND a.ItemCode <> b.ItemCode
+  JOIN hnb ON hnb.RouteCode = a.RouteCode AND hnb.ItemCode = a.ItemCode GROUP BY 1, 2, 3, 4),
+cooc AS (SELECT hco.RouteCode, anchor, item, both_n / buyers AS confidence, median_qty FROM hco JOIN cal USING (RouteCode)
+  WHERE buyers >= 3 AND both_n >= 2 AND both_n / buyers >= basket_min_confidence),
+bb AS (SELECT h.RouteCode, h.CustomerCode, c.item AS ItemCode, c.anchor, c.confidence, median_qty, v.van_qty FROM hlane h
+  JOIN cooc c ON c.RouteCode = h.RouteCode AND c.anchor = h.ItemCode
+  JOIN van v ON v.RouteCode = c.RouteCode AND v.ItemCode = c.item
+  QUALIFY row_number() OVER (PARTITION BY h.RouteCode, h.CustomerCode, c.item ORDER BY c.confidence DESC, c.anchor) = 1),
+bfree AS (SELECT bb.* FROM bb WHERE NOT EXISTS (SELECT 1 FROM (SELECT {P} FROM hlane UNION ALL SELECT {P} FROM plane) x
+  WHERE x.RouteCode = bb.RouteCode AND x.CustomerCode = bb.CustomerCode AND x.ItemCode = bb.ItemCode)),
+btop AS (SELECT * FROM bfree QUALIFY row_number() OVER (PARTITION BY RouteCode, CustomerCode ORDER BY confidence DESC, ItemCode) <= 3),
+blane AS (SELECT {P}, 'basket' AS source, 2 AS lane, CAST(least(van_qty, {sb.rint('greatest(1, median_qty)')}) AS INT) AS qty,
+    {sb.rint('tier_consider + confidence * (tier_should_stock - tier_consider)', 2)} AS priority, van_qty,
+    greatest(1, median_qty) AS avg_qty, 0 AS days_since, 0 AS cycle_days, {sb.rint('confidence * 100', 1)} AS frequency_pct,
+    0.5 AS pattern_quality, 0 AS purchase_count, 1.0 AS trend_factor, 0.0 AS churn_probability
+  FROM btop JOIN cal USING (RouteCode))"""
+
+STARTERS = f"""acty AS (SELECT RouteCode, CustomerCode, date_diff('day', MAX(TrxDate), {T}) AS days_since, COUNT(*) AS lines
+  FROM hist JOIN jc USING (RouteCode, CustomerCode) GROUP BY ALL),
+rlane AS (SELECT a.RouteCode, a.CustomerCode, t.ItemCode, 'reactivation' AS source, 3 AS lane, greatest(1, least(5, t.van_qty)) AS qty,
+    {sb.rint('tier_consider', 2)} AS priority, t.van_qty, greatest(1, least(5, t.van_qty)) AS avg_qty, days_since, 0 AS cycle_days,
+    0 AS frequency_pct, 0.4 AS pattern_quality, lines AS purchase_count, 1.0 AS trend_factor, 0.5 AS churn_probability
+  FROM acty a JOIN cal USING (RouteCode) JOIN top5 t ON t.RouteCode = a.RouteCode WHERE days_since > dormancy_days),
+slane AS (SELECT j.RouteCode, j.CustomerCode, t.ItemCode, 'seed' AS source, 4 AS lane, greatest(1, least(5, t.van_qty)) AS qty,
+    {sb.rint('tier_consider', 2)} AS priority, t.van_qty, greatest(1, least(5, t.van_qty)) AS avg_qty, 0 AS days_since, 0 AS cycle_days,
+    0 AS frequency_pct, 0.5 AS pattern_quality, 0 AS purchase_count, 1.0 AS trend_factor, 0.5 AS churn_probability
+  FROM jc j JOIN top5 t USING (RouteCode) JOIN cal ON cal.RouteCode = j.RouteCode
+  WHERE NOT EXISTS (SELECT 1 FROM acty WHERE acty.RouteCode = j.RouteCode AND acty.CustomerCode = j.CustomerCode))"""
+
+MERGED = f"""cand AS (SELECT * FROM hlane UNION ALL SELECT * FROM plane UNION ALL SELECT * FROM blane
+  UNION ALL SELECT * FROM rlane UNION ALL SELECT * FROM slane),
+rank1 AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY {P} ORDER BY priority DESC, lane) = 1),
+shaped AS (SELECT r.*, CASE WHEN priority >= tier_must_stock THEN 'MUST_STOCK' WHEN priority >= tier_should_stock THEN 'SHOULD_STOCK'
+    WHEN priority >= tier_consider THEN 'CONSIDER' WHEN priority >= tier_monitor THEN 'MONITOR' ELSE 'EXCLUDE' END AS tier
+  FROM rank1 r JOIN cal USING (RouteCode)),
+kept AS (SELECT * FROM shaped WHERE tier <> 'EXCLUDE'),
+alloc AS (SELECT * FROM (SELECT *, greatest(0, least(qty, van_qty - COALESCE(SUM(qty) OVER (PARTITION BY RouteCode, ItemCode
+    ORDER BY priority DESC, CustomerCode ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS given FROM kept) WHERE given > 0)"""
+
+LANES = (sb.RAW, sb.CUSTOMER, sb.HISTORY, sb.SALES, sb.FORECAST, sb.journey(), *SCORED, VAN, PEERS, HISTORY_LANE, BASKET, STARTERS, MERGED)

@@ -159,8 +159,10 @@ def nearest_peers(
     left = unit.join(wanted, ["route", "customer"], "left_semi").select(
         "route", "customer", "item", "unit", F.col("tile").alias("lt"), every.alias("rt")
     )
+    # fresh aliases keep the two sides of the cogroup apart
     right = unit.select(
-        "route", "customer", "item", "unit", every.alias("lt"), F.col("tile").alias("rt")
+        *[F.col(c).alias(c) for c in ("route", "customer", "item", "unit")],
+        every.alias("lt"), F.col("tile").alias("rt"),
     )
     near = (
         left.groupBy("route", "lt", "rt")
