@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ("imports", "demand", "forecast", "scoring", "orders")
+SECTIONS = ("imports", "demand", "forecast", "scoring", "orders", "loop")
 
 
 def _collect(attribute: str) -> dict:

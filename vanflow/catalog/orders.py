@@ -12,6 +12,7 @@ from vanflow.config import CLAMPS, DASHBOARD
 from vanflow.operators import allocate, lanes
 from vanflow.operators import scoring as sg
 from vanflow.plans.recommend import recommend
+from vanflow.session import cut_lineage
 from vanflow.sources import fixtures as fx
 from vanflow.sources import imports as im
 
@@ -60,8 +61,8 @@ def run(s, d):
 def fresh_run(s, d):
     """The run from raw tables, nothing shared."""
     return recommend(
-        fx.history(s, d, "region", "brand"),
-        im.confident_demand(fx.demand_forecast(s, d), DASHBOARD.min_demand_probability),
+        cut_lineage(fx.history(s, d, "region", "brand")),
+        cut_lineage(im.confident_demand(fx.demand_forecast(s, d), DASHBOARD.min_demand_probability)),
         fx.journey(s, d), fx.TARGET,
     ).allocated
 
@@ -145,7 +146,8 @@ QUERIES = {
     "L7_van_allocation": lambda s, d: rounded(run(s, d).allocated.select(
         *PAIR, "RecommendedQuantity", "Tier", "PriorityScore", "VanLoad", "Source",
         F.col("WhyQuantity").contains("[Van constrained").alias("constrained"))),
-    "L8_generation_run": fresh_run,
+    "L8_generation_run": lambda s, d: rounded(fresh_run(s, d).select(
+        *PAIR, "RecommendedQuantity", "Tier", "PriorityScore", "VanLoad", "Source", "Confidence")),
     "L9_customer_groups": lambda s, d: allocate.customer_groups(run(s, d).allocated),
     "L9_route_stats": lambda s, d: allocate.route_stats(run(s, d).allocated),
     "L10_generator_metrics": lambda s, d: rounded(allocate.generator_metrics(
@@ -256,17 +258,22 @@ ORACLES = {
       purchase_count AS PurchaseCount, source AS Source FROM kept LEFT JOIN cn USING (RouteCode, CustomerCode)""",
     "L7_van_allocation": _L + f"""SELECT {so.P}, CAST(given AS INT) AS RecommendedQuantity, tier AS Tier,
       priority AS PriorityScore, van_qty AS VanLoad, source AS Source, given < qty AS constrained FROM alloc""",
+    "L8_generation_run": _X + f""", cs AS (SELECT {so.P}, source,
+        {sb.rint('least(1, MAX(tot) / MAX(n) * (0.7::DOUBLE + 0.3::DOUBLE * least(1, sqrt(MAX(n) / 3.0))))', 4)} AS Confidence
+        FROM sgn GROUP BY {so.P}, source)
+      SELECT {so.P}, CAST(given AS INT) AS RecommendedQuantity, tier AS Tier, priority AS PriorityScore, van_qty AS VanLoad,
+      source AS Source, Confidence FROM alloc JOIN cs USING ({so.P}, source)""",
     "L9_customer_groups": _L + f""", cn AS (SELECT RouteCode, CustomerCode, MIN(CustomerName) AS nm FROM hist GROUP BY ALL)
       SELECT {so.T} AS TrxDate, alloc.RouteCode, alloc.CustomerCode, COALESCE(MAX(nm), alloc.CustomerCode) AS CustomerName,
       COUNT(*) AS items, CAST(SUM(given) AS BIGINT) AS total_qty
       FROM alloc LEFT JOIN cn USING (RouteCode, CustomerCode) GROUP BY alloc.RouteCode, alloc.CustomerCode""",
     "L9_route_stats": _L + f"""SELECT {so.T} AS TrxDate, RouteCode, COUNT(DISTINCT CustomerCode) AS customers,
       COUNT(DISTINCT ItemCode) AS skus, CAST(SUM(given) AS BIGINT) AS total_qty FROM alloc GROUP BY RouteCode""",
-    "L10_generator_metrics": _L + f""", md AS (SELECT RouteCode, source, COUNT(*) AS candidates FROM cand GROUP BY ALL),
+    "L10_generator_metrics": _L + f""", gm AS (SELECT RouteCode, source, COUNT(*) AS candidates FROM cand GROUP BY ALL),
       sm AS (SELECT RouteCode, 'peer' AS source, {sb.rint(f"AVG({sb.rint('peer_score', 4)})", 4)} AS similarity_avg
         FROM ptop WHERE median_qty > 0 GROUP BY RouteCode),
       kp AS (SELECT RouteCode, source, COUNT(*) AS k FROM kept GROUP BY ALL)
-      SELECT md.RouteCode, md.source, candidates, similarity_avg, COALESCE(k, 0) AS kept,
-      {sb.rint('COALESCE(k, 0) * 100.0::DOUBLE / SUM(COALESCE(k, 0)) OVER (PARTITION BY md.RouteCode)', 2)} AS source_pct
-      FROM md LEFT JOIN sm USING (RouteCode, source) LEFT JOIN kp USING (RouteCode, source)""",
+      SELECT gm.RouteCode, gm.source, candidates, similarity_avg, COALESCE(k, 0) AS kept,
+      {sb.rint('COALESCE(k, 0) * 100.0::DOUBLE / SUM(COALESCE(k, 0)) OVER (PARTITION BY gm.RouteCode)', 2)} AS source_pct
+      FROM gm LEFT JOIN sm USING (RouteCode, source) LEFT JOIN kp USING (RouteCode, source)""",
 }

@@ -262,10 +262,13 @@ def calibrate(history: DataFrame, c: Clamps, splits: Splits = SPLITS, materialis
     """Calibrated thresholds of all routes.
 
     ``materialise`` (for instance a reliable checkpoint) is applied to the
-    one-row-per-route base pass, which the corpus clamp reads twice.
+    windowed history, which every threshold reads, and to the one-row-per-route
+    base pass, which the corpus clamp reads twice.
     """
     windows = route_windows(history, c)
     windowed = windowed_history(history, windows)
+    if materialise is not None:
+        windows, windowed = materialise(windows), materialise(windowed)
     base = base_calibration(history, windowed, windows, c, splits)
     base = base.join(
         active_customers(history).withColumnRenamed("active_customers", "history_customers"),

@@ -51,7 +51,8 @@ def recommend(
 
     calibration = materialise(calibrate(history, c, splits, materialise))
     planned = history.join(targets, ["RouteCode", "CustomerCode"], "left_semi")
-    scored = scoring.score_pairs(planned, calibration, date, c)
+    # stored before filtering: pushed-down filters would repeat the scoring expressions
+    scored = materialise(scoring.score_pairs(planned, calibration, date, c))
     history_picks = materialise(lanes.history_lane(scored, van, c))
 
     comparable = history.join(lanes.large_enough_routes(history, c), "RouteCode", "left_semi")
