@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ("imports", "demand", "forecast", "scoring", "orders", "loop")
+SECTIONS = ("imports", "demand", "forecast", "scoring", "orders", "loop", "supervise")
 
 
 def _collect(attribute: str) -> dict:
