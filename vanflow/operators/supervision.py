@@ -189,47 +189,73 @@ def redistribute(items: DataFrame, unsold: DataFrame, cfg: SupervisionConfig = S
     )
 
 
-def replay_item(pdf: pd.DataFrame, cfg: SupervisionConfig = SUPERVISION) -> pd.DataFrame:
-    """Adjustments of one item of one session after all its visits, in visit order."""
-    ranks = {t: i for i, t in enumerate(cfg.tier_order)}
-    pdf = pdf.assign(_tier=pdf["tier"].map(ranks).fillna(99)).sort_values(
-        ["_tier", "priority_score", "customer_code"], ascending=[True, False, True]
-    )
-    rec = pdf["recommended_qty"].to_numpy(dtype=np.int64)
-    adj = pdf["adjustment"].to_numpy(dtype=np.int64).copy()
-    act = pdf["actual_qty"].to_numpy(dtype=np.int64)
-    seq = pdf["visit_sequence"].to_numpy(dtype=np.int64)
-    seq = np.where(pdf["visited"].to_numpy(dtype=bool), seq, np.iinfo(np.int64).max)
+NOT_VISITED = np.iinfo(np.int64).max
+
+
+def replay_item(
+    rec: np.ndarray, adj: np.ndarray, act: np.ndarray, seq: np.ndarray,
+    cfg: SupervisionConfig = SUPERVISION,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Adjustments and unsold units of one item of one session after all its visits.
+
+    Arrays hold the item's customers in recipient order; ``seq`` is the visit
+    number, ``NOT_VISITED`` for customers without a visit.
+    """
+    adj = adj.copy()
     cap = np.maximum(1, (rec * cfg.max_increase).astype(np.int64))
     unsold = np.zeros(len(rec), dtype=np.int64)
     for i in np.argsort(seq, kind="stable"):
-        if seq[i] == np.iinfo(np.int64).max:
+        if seq[i] == NOT_VISITED:
             break
         left = unsold[i] = max(0, rec[i] + adj[i] - act[i])
+        if left == 0:
+            continue
         for j in np.flatnonzero(seq > seq[i])[: cfg.max_recipients]:
             if left <= 0:
                 break
             give = min(left, cap[j])
             adj[j] += give
             left -= give
-    return pdf.assign(adjustment=adj.astype("int32"), unsold=unsold.astype("int32")).drop(columns="_tier")
+    return adj, unsold
 
 
 def replay_sessions(items: DataFrame, cfg: SupervisionConfig = SUPERVISION) -> DataFrame:
     """Sequential replay: later visits see the adjustments of earlier ones.
 
     Items never influence each other, so the sequential unit is one item of one
-    session: at most a day's stops.
+    session, at most a day's stops. Units are packed into arrays and replayed
+    by the Arrow batch.
     """
-    fields = [f for f in items.schema.fields if f.name not in ("adjustment", "unsold")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    out_cols = [f.name for f in fields] + ["adjustment", "unsold"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return replay_item(pdf, cfg)[out_cols]
-
-    return items.groupBy("session_id", "item_code").applyInPandas(
-        run, f"{schema}, adjustment int, unsold int"
+    keys = ["session_id", "item_code"]
+    rest = [c for c in items.columns if c not in (*keys, "adjustment", "unsold")]
+    row = F.struct(
+        _tier_rank(cfg).alias("_tier"), (-F.col("priority_score")).alias("_score"),
+        F.col("customer_code").alias("_customer"), "adjustment", *rest,
+    )
+    packed = items.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    @F.pandas_udf("struct<adjustment:array<int>,unsold:array<int>>")
+    def replay(rec: pd.Series, adj: pd.Series, act: pd.Series, seq: pd.Series) -> pd.DataFrame:
+        done = [
+            replay_item(*(np.asarray(x, dtype=np.int64) for x in unit), cfg)
+            for unit in zip(rec, adj, act, seq)
+        ]
+        return pd.DataFrame({"adjustment": [a for a, _ in done], "unsold": [u for _, u in done]})
+
+    values = lambda f: F.transform("rows", f)
+    order = values(lambda r: F.when(r.visited, r.visit_sequence.cast("bigint")).otherwise(
+        F.lit(int(NOT_VISITED))))
+    result = replay(
+        values(lambda r: r.recommended_qty), values(lambda r: r.adjustment),
+        values(lambda r: r.actual_qty), order,
+    )
+    zipped = F.arrays_zip("rows", F.col("_r.adjustment").alias("adjustment"),
+                          F.col("_r.unsold").alias("unsold"))
+    return (
+        packed.withColumn("_r", result)
+        .select(*keys, F.explode(zipped).alias("z"))
+        .select(*keys, *[F.col(f"z.rows.{c}").alias(c) for c in rest],
+                F.col("z.adjustment").alias("adjustment"), F.col("z.unsold").alias("unsold"))
     )
 
 
