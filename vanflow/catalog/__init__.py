@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ("imports", "demand", "forecast", "scoring", "orders", "loop", "supervise", "texts", "learned")
+SECTIONS = ("imports", "demand", "forecast", "scoring", "orders", "loop", "supervise", "texts", "learned", "streams")
 
 
 def _collect(attribute: str) -> dict:
