@@ -119,7 +119,7 @@ QUERIES = {
     "H10_route_sales_on_date": lambda s, d: kpis.route_sales_on(fx.raw_sales(s, d)).withColumn(
         "items", F.array_join(F.transform("items", lambda x: F.concat_ws(":", x.item_code, x.qty)), ",")),
     "H11_customer_sales_on_date": lambda s, d: kpis.customer_sales_on(
-        fx.raw_sales(s, d), "1", "1999-05-03", "1"),
+        fx.raw_sales(s, d), "2", "1996-01-20", "817"),
     "H12_customer_overview": _overview,
     "H12_customer_totals": lambda s, d: kpis.customer_overview_totals(_overview(s, d)),
     "H12_customer_top": lambda s, d: kpis.customer_overview_top(_overview(s, d)),
@@ -251,7 +251,7 @@ ORACLES = {
         CAST(SUM(qty) AS BIGINT) AS total_qty
         FROM lines WHERE qty > 0 GROUP BY RouteCode, TrxDate, CustomerCode""",
     "H11_customer_sales_on_date": sb.with_(sb.RAW, _LINES) + """SELECT ItemCode, qty FROM lines
-        WHERE qty > 0 AND RouteCode = '1' AND CustomerCode = '1' AND TrxDate = DATE '1999-05-03'""",
+        WHERE qty > 0 AND RouteCode = '2' AND CustomerCode = '817' AND TrxDate = DATE '1996-01-20'""",
     "H12_customer_overview": _OV + "SELECT * FROM ov",
     "H12_customer_totals": _OV + f"""SELECT COUNT(DISTINCT CustomerCode) AS active_customers,
         CAST(SUM(visits) AS BIGINT) AS total_visits, {sb.rint('SUM(total_quantity)', 1)} AS total_quantity,

@@ -241,11 +241,13 @@ def _daily_stats_sql(by: str) -> str:
       CASE WHEN COUNT(*) >= 2 THEN greatest(0, 100 - SUM(CASE WHEN i > n // 2 THEN abs(p - a) END) / SUM(CASE WHEN i > n // 2 THEN a END) * 100)
         - greatest(0, 100 - SUM(CASE WHEN i <= n // 2 THEN abs(p - a) END) / SUM(CASE WHEN i <= n // 2 THEN a END) * 100) END AS trend
       FROM st GROUP BY {by or '()'})
-    SELECT {key}{r4('greatest(0, 100 - err / sold * 100)')} AS accuracy_pct, {r4('(tp - ta) / ta * 100')} AS bias_pct,
-      {r4('served')} AS demand_served, {r4('least(ta, tp) / tp * 100')} AS sell_through_pct, days_on_target, days_scored,
+    SELECT {key}{r4('CASE WHEN sold > 0 THEN greatest(0, 100 - err / sold * 100) END')} AS accuracy_pct,
+      {r4('CASE WHEN ta > 0 THEN (tp - ta) / ta * 100 END')} AS bias_pct,
+      {r4('served')} AS demand_served, {r4('CASE WHEN tp > 0 THEN least(ta, tp) / tp * 100 END')} AS sell_through_pct,
+      COALESCE(days_on_target, 0) AS days_on_target, COALESCE(days_scored, 0) AS days_scored,
       COALESCE(best_streak, 0) AS best_streak, best_day, {r4('best_acc')} AS best_day_accuracy, {r4('trend')} AS trend_pp,
       CASE WHEN trend >= 2 THEN 'Improving' WHEN trend <= -2 THEN 'Slipping' WHEN trend IS NOT NULL THEN 'Steady' END AS trend
-    FROM w JOIN h {using} LEFT JOIN sk {using}"""
+    FROM w LEFT JOIN h {using} LEFT JOIN sk {using}"""
 
 
 ORACLES = {
