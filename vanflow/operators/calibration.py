@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vanflow.config import Clamps, Splits, SPLITS
 from vanflow.functions.numeric import clamp, percentiles_by_key, py_round
 from vanflow.operators.pairs import item_pair_counts
+from vanflow.session import small_side
 
 CORPUS_FIELDS = (
     "frequency_floor", "dormancy_days", "qty_benchmark", "completion_gate",
@@ -268,7 +269,8 @@ def calibrate(history: DataFrame, c: Clamps, splits: Splits = SPLITS, materialis
     windows = route_windows(history, c)
     windowed = windowed_history(history, windows)
     if materialise is not None:
-        windows, windowed = materialise(windows), materialise(windowed)
+        windows = small_side(materialise(windows))
+        windowed = materialise(windowed_history(history, windows))
     base = base_calibration(history, windowed, windows, c, splits)
     base = base.join(
         active_customers(history).withColumnRenamed("active_customers", "history_customers"),

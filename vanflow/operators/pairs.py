@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 
 from vanflow.config import SPLITS, Splits
 from vanflow.functions.numeric import first_ranked
+from vanflow.session import cut_lineage, small_side
 
 
 def _tiles(n: Column, size: int) -> Column:
     return F.greatest(F.ceil(n / F.lit(size)), F.lit(1)).cast("int")
 
 
+def _per_route(sizes: DataFrame) -> DataFrame:
+    """Sizes per route, stored once so that a hot route's rows need not move to meet them."""
+    return small_side(cut_lineage(sizes))
+
+
 def _tile_of(key: str, tiles: Column) -> Column:
     return F.pmod(F.xxhash64(key), tiles.cast("bigint")).cast("int")
 
@@ -57,9 +63,9 @@ def item_pair_counts(
     base = purchases.select(
         F.col(route).alias("route"), F.col(customer).alias("customer"), F.col(item).alias("item")
     ).distinct()
-    size = base.groupBy("route").agg(
+    size = _per_route(base.groupBy("route").agg(
         F.countDistinct("customer").alias("_nc"), F.countDistinct("item").alias("_ni")
-    )
+    ))
     tiles = _tiles(F.col("_ni"), splits.item_block)
     placed = (
         base.join(size, "route")
@@ -144,7 +150,7 @@ def nearest_peers(
     norms = base.groupBy("route", "customer").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
     )
-    size = norms.groupBy("route").agg(F.count(F.lit(1)).alias("_n"))
+    size = _per_route(norms.groupBy("route").agg(F.count(F.lit(1)).alias("_n")))
     unit = (
         base.join(norms, ["route", "customer"]).join(size, "route")
         .withColumn("unit", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0))

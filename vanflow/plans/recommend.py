@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vanflow.config import CLAMPS, SPLITS, Clamps, Splits
 from vanflow.operators import allocate, explain, lanes, scoring
 from vanflow.operators.calibration import calibrate
-from vanflow.session import cut_lineage
+from vanflow.session import cut_lineage, small_side
 
 
 @dataclass(frozen=True)
@@ -46,16 +46,19 @@ def recommend(
     if done_routes is not None:
         van = van.join(done_routes.select("RouteCode"), "RouteCode", "left_anti")
         targets = targets.join(done_routes.select("RouteCode"), "RouteCode", "left_anti")
-    van = materialise(van)
-    targets = materialise(targets.join(van.select("RouteCode").distinct(), "RouteCode", "left_semi"))
+    van = small_side(materialise(van))
+    targets = small_side(
+        materialise(targets.join(van.select("RouteCode").distinct(), "RouteCode", "left_semi"))
+    )
 
-    calibration = materialise(calibrate(history, c, splits, materialise))
+    calibration = small_side(materialise(calibrate(history, c, splits, materialise)))
     planned = history.join(targets, ["RouteCode", "CustomerCode"], "left_semi")
     # stored before filtering: pushed-down filters would repeat the scoring expressions
     scored = materialise(scoring.score_pairs(planned, calibration, date, c))
     history_picks = materialise(lanes.history_lane(scored, van, c))
 
-    comparable = history.join(lanes.large_enough_routes(history, c), "RouteCode", "left_semi")
+    large_enough = small_side(materialise(lanes.large_enough_routes(history, c)))
+    comparable = history.join(large_enough, "RouteCode", "left_semi")
     weights = materialise(lanes.lookalike_weights(comparable, calibration, date))
     nearest = materialise(lanes.peers(weights, targets, calibration, c, splits))
     peer_picks = materialise(lanes.peer_lane(nearest, weights, van, calibration, c))

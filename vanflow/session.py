@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app_name: str = "vanflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,3 +49,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a materialised table for broadcast if it really is small.
+
+    Its rows are counted up to the limit; a larger table is returned as it is
+    and joins by shuffle.
+    """
+    fits = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if fits else df
