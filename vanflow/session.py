@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,26 +33,61 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings results depend on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.ansi.enabled", "false")
+    ship_package(spark)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The folder that the driver and all executors see.
+
+    `spark.checkpoint.dir` where the cluster names one, else the context's
+    checkpoint folder, else a folder under the session's warehouse.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
+        return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    return tempfile.mkdtemp(prefix="vanflow-checkpoint-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_vanflow"
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """An unused path in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write a frame to the shared folder once and read it back.
+
+    Cuts lineage like a checkpoint, but later readers prune columns and push
+    filters down. Files survive the loss of any executor.
+    """
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(os.path.realpath(tempfile.mkdtemp())) / "vanflow.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a frame that several branches read, reliably and once."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    return materialise(df)
 
 
 BROADCAST_ROWS = 100_000
