@@ -129,3 +129,42 @@ def test_components_of_paths_hubs_and_empty_edges(spark):
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[2000 + i] for i in range(500)} == {1000} and len(got) == 41 + 501
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def plain_repeats(rows, window):
+    import re
+
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", t or "") for k, (_, t) in enumerate(rows)}
+    first = {}
+    for k, (doc, _) in enumerate(rows):
+        if doc is not None:
+            for i in range(len(words[k]) - window + 1):
+                w = tuple(words[k][i : i + window])
+                first[w] = min(first.get(w, doc), doc)
+    out = []
+    for k, (doc, _) in enumerate(rows):
+        gone = set()
+        for i in range(len(words[k]) - window + 1) if doc is not None else ():
+            if first[tuple(words[k][i : i + window])] < doc:
+                gone |= set(range(i, i + window))
+        kept = [w for i, w in enumerate(words[k]) if i not in gone]
+        out.append((str(doc), len(words[k]), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("window, anchor", [(50, 10), (6, 3), (5, 5), (12, 4)])
+def test_repeats_equal_brute_force(spark, window, anchor):
+    from vanflow.llm import substrings
+
+    rng = random.Random(window)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] if window == 50 else []
+    passages = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(window + rng.randint(-2, 60))) for _ in range(8)]
+    for d in range(80):
+        parts = [rng.choice(passages) if rng.random() < 0.6 else " ".join(f"x{rng.randint(0, 900)}" for _ in range(rng.randint(0, 40)))
+                 for _ in range(rng.randint(0, 4))]
+        rows.append((10_000 + d // 2 if d % 9 == 0 else 20_000 - d, "\n".join(parts)))
+    rows += [(1, None), (2, ""), (None, passages[0]), (30_000, "a " * 300), (30_001, "a " * 200), (30_001, "a " * 200), (30_002, passages[0][2:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("key", trie_dedup.F.lit(1))
+    got = substrings.repeats(df, window=window, anchor=anchor).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_repeats(rows, window)
+    assert substrings.repeats(df.limit(0)).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vanflow.llm import covering, packing, pii, ppm, secrets, trie_dedup
+from vanflow.llm import covering, packing, pii, ppm, secrets, spaced_seeds, substrings, trie_dedup, warc
 from vanflow.llm.base import crc_class, read
 
 
@@ -21,10 +21,19 @@ def op3_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contaminated document and benchmark item."""
+    return spaced_seeds.contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.exact_owners(read(spark, sf_dir, "documents")).drop("row")
 
 
+def op6_warc_sharded_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read(spark, sf_dir, "pages"))
+
+
 def op7_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covering.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -37,11 +46,15 @@ def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_seed_extend_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_pii_anchor_expansion, op2_secret_blob_ledger, op3_vector_bin_packing, op5_patricia_exact_dedup, op7_covering_simhash,
-        op8_ppm_language,
+        op1_pii_anchor_expansion, op2_secret_blob_ledger, op3_vector_bin_packing, op4_spaced_seed_decontamination,
+        op5_patricia_exact_dedup, op6_warc_sharded_writer, op7_covering_simhash, op8_ppm_language, op9_seed_extend_substrings,
     )
 }
 ORACLES: dict[str, str] = {}
