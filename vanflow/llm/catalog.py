@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vanflow.llm import covering, packing, pii, ppm, secrets, spaced_seeds, substrings, trie_dedup, warc
+from vanflow.llm import covering, katz, packing, pii, ppm, secrets, spaced_seeds, substrings, trie_dedup, warc
 from vanflow.llm.base import crc_class, read
 
 
@@ -50,11 +50,16 @@ def op9_seed_extend_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(read(spark, sf_dir, "documents"))
 
 
+def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(read(spark, sf_dir, "documents"), crc_class("doc_id", 7) != 2)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii_anchor_expansion, op2_secret_blob_ledger, op3_vector_bin_packing, op4_spaced_seed_decontamination,
         op5_patricia_exact_dedup, op6_warc_sharded_writer, op7_covering_simhash, op8_ppm_language, op9_seed_extend_substrings,
+        op10_katz_backoff,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -17,10 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vanflow.llm.base import keyed, map_rows, type_of
+from vanflow.session import ship_package
 
 ORDER = 3
 SAMPLE_PER_LANGUAGE = 1500  # labelled documents that train a language's tree, by hash of the identifier
@@ -193,6 +195,20 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
     return Model(languages, grams, costs, trees).ready()
 
 
+def answers(model: Model, texts: list[str | None]) -> list[tuple[str, float, float]]:
+    """(language, score, bits per byte) of each text."""
+    lettered = [bool(model.languages and t and _LETTER.search(t)) for t in texts]
+    bodies = [fold(t) if ok else b"" for t, ok in zip(texts, lettered)]
+    out = []
+    for ok, body, row in zip(lettered, bodies, model.bits(bodies)):
+        if not ok:
+            out.append((UNKNOWN, 0.0, 0.0))
+            continue
+        i = int(np.argmin(row))
+        out.append((model.languages[i], float(1.0 / np.exp2(np.maximum(row[i] - row, -1000.0)).sum()), float(row[i] / len(body))))
+    return out
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: language, probability of it among the known ones, and bits per byte under it.
 
@@ -206,20 +222,27 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         known = Model(*shared.value).ready()
         for batch in batches:
-            lettered = [bool(known.languages and t and _LETTER.search(t)) for t in batch["text"]]
-            bodies = [fold(t) if ok else b"" for t, ok in zip(batch["text"], lettered)]
-            bits = known.bits(bodies)
-            out = {"doc_id": batch["doc_id"], "lang_pred": [], "score": [], "bits_per_byte": []}
-            for ok, body, row in zip(lettered, bodies, bits):
-                if not ok:
-                    best, score, rate = UNKNOWN, 0.0, 0.0
-                else:
-                    i = int(np.argmin(row))
-                    best, rate = known.languages[i], float(row[i] / len(body))
-                    score = float(1.0 / np.exp2(np.maximum(row[i] - row, -1000.0)).sum())
-                out["lang_pred"].append(best)
-                out["score"].append(score)
-                out["bits_per_byte"].append(rate)
-            yield out
+            names = ("lang_pred", "score", "bits_per_byte")
+            yield {"doc_id": batch["doc_id"], **dict(zip(names, map(list, zip(*answers(known, batch["text"])))))}
 
     return map_rows(source, work, f"doc_id {type_of(source, 'doc_id')}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("doc_id", id_col)
+
+
+def keep_identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", worst_bits: float = 8.0) -> DataFrame:
+    """The rows, all columns, whose language is known.
+
+    Rejected are `und` rows and texts that their best model codes no shorter
+    than bytes of equal odds (`worst_bits` per byte). Rows are filtered where
+    they are, so repeated rows and null identifiers need no rule.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.grams, model.costs, model.trees))
+    ship_package(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Model(*shared.value).ready()
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
+            keep = [lang != UNKNOWN and rate < worst_bits for lang, _, rate in answers(known, texts)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
