@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from vanflow.llm.base import map_rows
 from vanflow.session import materialise
 
 CLASSES = 5  # counts up to this one are discounted
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 2_000_000
 CHUNK_TOKENS = 2_000_000
 CHUNK_DOCS = 50_000
 HOT_WORDS = 65_536  # words at most that are spread over buckets
@@ -152,7 +153,11 @@ def survey(source: DataFrame, bucket_tokens: int) -> tuple[int, int, dict[int, i
 
 
 def _packed_pairs(buckets: int, hot: np.ndarray):
+    """Packed pairs per bucket and chunk; documents are named by their number in the chunk, whose keys travel once."""
+
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        context = TaskContext.get()
+        chunk = (context.partitionId() if context else 0) << 20
         for toks, doc, keys, train in _chunks(batches):
             before = np.concatenate([[BEGIN], toks[:-1]]).astype(np.uint64)
             before[np.flatnonzero(np.diff(doc)) + 1] = BEGIN
@@ -161,25 +166,26 @@ def _packed_pairs(buckets: int, hot: np.ndarray):
             where[often] = _bucket(toks[often] ^ (before[often] * _MIX), buckets)
             order = np.lexsort((doc, before, toks, where))
             edges = np.searchsorted(where[order], np.arange(buckets + 1))
+            name, flags = np.array([chunk], np.int64), np.packbits(train)
+            yield {"bucket": [chunk % buckets], "blob": [pack({"chunk": name, "keys": keys})]}
             for b in np.flatnonzero(np.diff(edges)):
                 own = order[edges[b] : edges[b + 1]]
-                w, h, d = toks[own], before[own], doc[own]
+                w, h = toks[own], before[own]
                 pairs = _starts(w, h)
                 firsts = _starts(w[pairs])
-                present, local = np.unique(d, return_inverse=True)
                 blob = {
                     "w": w[pairs][firsts], "kinds": np.diff(np.append(firsts, len(pairs))).astype(np.uint32), "h": h[pairs],
-                    "n": np.diff(np.append(pairs, len(w))).astype(np.uint32), "d": local.astype(np.uint16), "key": keys[present],
-                    "train": train[present],
+                    "n": np.diff(np.append(pairs, len(w))).astype(np.uint32), "d": doc[own].astype(np.uint16), "chunk": name, "train": flags,
                 }
                 yield {"bucket": [int(b)], "blob": [pack(blob)]}
+            chunk += 1
 
     return work
 
 
 DOC_COUNTS = ("tokens", "known", "seen", *[f"m{r}" for r in range(1, CLASSES + 1)], *[f"u{r}" for r in range(CLASSES + 1)])
 CONTEXT_COUNTS = (*[f"n{r}" for r in range(1, CLASSES + 1)], *[f"k{r}" for r in range(1, CLASSES + 1)], "pairs_tail", "words_tail")
-KINDS = "kind string, bucket int, blob binary, stats array<long>"
+KINDS = "kind string, bucket long, blob binary, stats array<long>"
 
 
 def _by_bucket(kind: str, buckets: int, by: np.ndarray, arrays: dict[str, np.ndarray]) -> Iterator[tuple]:
@@ -191,20 +197,36 @@ def _by_bucket(kind: str, buckets: int, by: np.ndarray, arrays: dict[str, np.nda
         yield kind, int(b), pack({n: a[own] for n, a in arrays.items()}), None
 
 
+def _by_chunk(kind: str, who: np.ndarray, arrays: dict[str, np.ndarray]) -> Iterator[tuple]:
+    """Rows per chunk of documents; within one, documents are numbers."""
+    order = np.argsort(who, kind="stable")
+    chunks = who[order] >> 16
+    first = _starts(chunks) if len(who) else []
+    for low, high in zip(first, np.append(first[1:], len(who)).astype(np.int64) if len(who) else []):
+        own = order[low:high]
+        part = {"d": (who[own] & 0xFFFF).astype(np.uint16), **{n: a[own] for n, a in arrays.items()}}
+        yield kind, int(chunks[low]), pack(part), None
+
+
 def _merge_bucket(buckets: int, hot_words: np.ndarray, hot_counts: np.ndarray):
     """Counts of a bucket's pairs and words; sums per document and per context."""
 
     def work(table: pa.Table) -> pa.Table:
         blobs = [unpack(b) for b in table.column("blob").to_pylist()]
-        offsets = np.cumsum([0, *[len(b["key"]) for b in blobs]])
-        keys = np.concatenate([b["key"] for b in blobs])
+        rows = [("keys", int(b["chunk"][0]), pack({"keys": b["keys"]}), None) for b in blobs if "keys" in b]
+        blobs = [b for b in blobs if "keys" not in b]
+        if not blobs:
+            return _table(rows)
+        held = [np.unique(b["d"], return_inverse=True) for b in blobs]
+        offsets = np.cumsum([0, *[len(present) for present, _ in held]])
+        who = np.concatenate([(int(b["chunk"][0]) << 16) + present.astype(np.int64) for b, (present, _) in zip(blobs, held)])
         words = np.concatenate([np.repeat(b["w"], b["kinds"]) for b in blobs])
         contexts = np.concatenate([b["h"] for b in blobs])
         n = np.concatenate([b["n"] for b in blobs]).astype(np.int64)
-        doc = np.concatenate([b["d"].astype(np.int64) + o for b, o in zip(blobs, offsets)])
-        learned = np.concatenate([b["train"] for b in blobs])[doc]
+        doc = np.concatenate([local + o for (_, local), o in zip(held, offsets)])
+        learned = np.concatenate([np.unpackbits(b["train"])[present] for b, (present, _) in zip(blobs, held)])[doc]
         trained = np.add.reduceat(learned.astype(np.int64), np.cumsum(n) - n)
-        del blobs
+        del blobs, held
         order = np.lexsort((contexts, words))
         first = _starts(words[order], contexts[order])
         pair_count = np.add.reduceat(trained[order], first)
@@ -220,17 +242,17 @@ def _merge_bucket(buckets: int, hot_words: np.ndarray, hot_counts: np.ndarray):
         cw_pair = np.repeat(word_count, np.diff(np.append(own, len(w))))
 
         pair = np.repeat(pair_of, n)
-        chw, cw, size = pair_count[pair], cw_pair[pair], len(keys)
+        chw, cw, size = pair_count[pair], cw_pair[pair], len(who)
         seen = chw > 0
         log_cw = np.log10(np.maximum(cw, 1))
         total = lambda mask: np.bincount(doc[mask], minlength=size).astype(np.uint32)
         doc_sums = {
-            "key": keys, "base": np.bincount(doc, np.log10(cw + 1.0), size),
+            "base": np.bincount(doc, np.log10(cw + 1.0), size),
             "log": np.bincount(doc, np.where(seen, np.log10(np.maximum(chw, 1)), log_cw) - np.where(w[pair] == END, 0, log_cw), size),
             "tokens": total(slice(None)), "known": total(cw > 0), "seen": total(seen),
             **{f"m{r}": total(chw == r) for r in range(1, CLASSES + 1)}, **{f"u{r}": total(~seen & (cw == r)) for r in range(CLASSES + 1)},
         }
-        rows = list(_by_bucket("doc", buckets, keys, doc_sums))
+        rows += _by_chunk("doc", who, doc_sums)
 
         has = pair_count > 0
         order = np.argsort(h[has], kind="stable")
@@ -248,10 +270,10 @@ def _merge_bucket(buckets: int, hot_words: np.ndarray, hot_counts: np.ndarray):
         rows += _by_bucket("word", buckets, word[kept], {"w": word[kept], "c": word_count[kept]})
 
         lost = np.flatnonzero(~seen)
-        missed, holder = h[pair[lost]], keys[doc[lost]]
+        missed, holder = h[pair[lost]], who[doc[lost]]
         often = np.isin(missed, hot_words)
-        rows += _by_bucket("unseen", buckets, missed[~often], {"h": missed[~often], "key": holder[~often]})
-        rows += _by_bucket("hot", buckets, holder[often], {"h": missed[often], "key": holder[often]})
+        rows += _by_bucket("unseen", buckets, missed[~often], {"h": missed[~often], "who": holder[~often]})
+        rows += _by_chunk("hot", holder[often], {"h": missed[often]})
 
         kinds = [int((pair_count == r).sum()) for r in range(1, CLASSES + 2)] + [int((word_count == r).sum()) for r in range(1, CLASSES + 2)]
         cold = kept if not len(hot_words) else kept & ~np.isin(word, hot_words)
@@ -262,7 +284,7 @@ def _merge_bucket(buckets: int, hot_words: np.ndarray, hot_counts: np.ndarray):
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    schema = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("blob", pa.binary()), ("stats", pa.list_(pa.int64()))])
+    schema = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("blob", pa.binary()), ("stats", pa.list_(pa.int64()))])
     return pa.table({n: [r[i] for r in rows] for i, n in enumerate(schema.names)}, schema=schema)
 
 
@@ -296,7 +318,7 @@ def backoff_weights(sums: dict[str, np.ndarray], count: np.ndarray, total: int,
     return np.where(count > 0, alpha, 1.0)
 
 
-def _weights_of_bucket(buckets: int, begin_count: int, total: int, d1: np.ndarray, d2: np.ndarray, hot_words: np.ndarray):
+def _weights_of_bucket(begin_count: int, total: int, d1: np.ndarray, d2: np.ndarray, hot_words: np.ndarray):
     """Per document, the sum of log10(c(h) * alpha(h)) over its unseen pairs; also that value of very frequent contexts."""
 
     def work(table: pa.Table) -> pa.Table:
@@ -318,11 +340,11 @@ def _weights_of_bucket(buckets: int, begin_count: int, total: int, d1: np.ndarra
         value = np.log10(np.maximum(count, 1) * backoff_weights(sums, count, total, d1, d2))
         rows = []
         if by["unseen"] and len(context):
-            missed, keys = joined("unseen", "h"), joined("unseen", "key")
+            missed, holder = joined("unseen", "h"), joined("unseen", "who", np.int64)
             at = np.minimum(np.searchsorted(context, missed), len(context) - 1)
             gain = np.where(context[at] == missed, value[at], 0.0)
-            key, back = np.unique(keys, return_inverse=True)
-            rows += _by_bucket("doc", buckets, key, {"key": key, "log": np.bincount(back, gain)})
+            who, back = np.unique(holder, return_inverse=True)
+            rows += _by_chunk("doc", who, {"log": np.bincount(back, gain)})
         often = np.isin(context, hot_words)
         if often.any():
             rows.append(("alpha", 0, pack({"h": context[often], "value": value[often]}), None))
@@ -361,7 +383,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     total = stats[-1] + sum(hot.values())
     by_context = store.where(F.col("kind").isin("context", "word", "unseen")).select("kind", "bucket", "blob")
     weights = materialise(
-        by_context.groupBy("bucket").applyInArrow(_weights_of_bucket(buckets, begin_count, total, d1, d2, hot_words), KINDS), "backoff"
+        by_context.groupBy("bucket").applyInArrow(_weights_of_bucket(begin_count, total, d1, d2, hot_words), KINDS), "backoff"
     )
     alphas = [unpack(r.blob) for r in weights.where("kind = 'alpha'").select("blob").collect()]  # one value per very frequent word
     often = {int(h): float(v) for a in alphas for h, v in zip(a["h"], a["value"])}
@@ -372,11 +394,14 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     log_begin = np.log10(max(begin_count, 1))
 
     def finish(table: pa.Table) -> pa.Table:
-        """Sums of the documents of a bucket, with all constants in."""
-        keys, parts = [], []
-        for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
-            a = unpack(blob)
-            base = tokens_ = known = np.zeros(len(a["key"]))
+        """Sums of the documents of a chunk, with all constants in."""
+        blobs = list(zip(table.column("kind").to_pylist(), map(unpack, table.column("blob").to_pylist())))
+        keys = next(a["keys"] for kind, a in blobs if kind == "keys")
+        sums = np.zeros((4, len(keys)))
+        for kind, a in blobs:
+            if kind == "keys":
+                continue
+            base = tokens_ = known = np.zeros(len(a["d"]))
             if kind == "hot":
                 score = np.array([often.get(int(h), 0.0) for h in a["h"]])
             elif "tokens" not in a:
@@ -390,21 +415,17 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                 for r in range(1, CLASSES + 1):
                     score = score + n[f"m{r}"] * log_d2[r - 1] + n[f"u{r}"] * log_d1[r - 1]
                 base = a["base"] - tokens_ * log_base
-            keys.append(a["key"])
-            parts.append(np.stack([score, base, tokens_, known]))
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(back, v) for v in np.concatenate(parts, axis=1)]
-        return pa.table(dict(zip(("key", "score", "base", "tokens", "known"), [key.view(np.int64), *sums])))
+            for row, values in zip(sums, (score, base, tokens_, known)):
+                np.add.at(row, a["d"], values)
+        return pa.table(dict(zip(("key", "score", "base", "tokens", "known"), [keys.view(np.int64), *sums])))
 
     kinds_of = ("kind", "bucket", "blob")
-    parts = store.where(F.col("kind").isin("doc", "hot")).select(*kinds_of).union(weights.where("kind = 'doc'").select(*kinds_of))
+    parts = store.where(F.col("kind").isin("doc", "hot", "keys")).select(*kinds_of).union(weights.where("kind = 'doc'").select(*kinds_of))
     sums = parts.groupBy("bucket").applyInArrow(finish, "key long, score double, base double, tokens double, known double")
-    # Rows that repeat a key were summed together; each is one of so many equal shares.
-    rows = source.select("doc_id", "key", "train").join(
-        source.groupBy("key").agg(F.count("*").alias("copies")), "key"
-    ).join(sums, "key")
+    # Rows that repeat a key have equal sums; one of them answers for all.
+    rows = source.select("doc_id", "key", "train").join(sums.dropDuplicates(["key"]), "key")
     return rows.select(
-        F.col("doc_id").alias(id_col), (~F.col("train")).alias("held_out"), F.round(F.col("tokens") / F.col("copies")).cast("long").alias("n_tokens"),
-        F.round(F.col("known") / F.col("copies")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies") - F.lit(float(log_begin))).alias("score"),
+        F.col("doc_id").alias(id_col), (~F.col("train")).alias("held_out"), F.col("tokens").cast("long").alias("n_tokens"),
+        F.col("known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), (F.col("score") - F.lit(float(log_begin))).alias("score"),
     )
