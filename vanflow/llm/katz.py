@@ -33,7 +33,7 @@ from vanflow.session import materialise
 
 CLASSES = 5  # counts up to this one are discounted
 BUCKET_TOKENS = 2_000_000
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 50_000
 HOT_WORDS = 65_536  # words at most that are spread over buckets
 HOT_COUNT = 1000  # least count of a word that is spread over buckets
@@ -80,7 +80,7 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 def tokens(text: str | None, cache: dict[bytes, int]) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(cache) > 1_000_000:
+    if len(cache) > 300_000:
         cache.clear()
     for w in set(words).difference(cache):
         cache[w] = xxhash.xxh64_intdigest(w)
