@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from vanflow.llm.base import map_rows, type_of
 from vanflow.session import materialise, new_folder
 
-SHARD_BYTES = 64 << 20  # payload bytes a shard holds at least, one record at the least
+SHARD_BYTES = 32 << 20  # payload bytes a shard holds at least, one record at the least
 ROLL_BYTES = 16 << 20  # compressed bytes after which a file is closed
 MIN_REVISIT = 100  # payload bytes below which equal payloads are stored each
 DATE = "2024-01-01T00:00:00Z"
@@ -73,7 +73,8 @@ def records_in(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         head, _, rest = whole.partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
         block = rest[: int(headers["Content-Length"])]
-        if headers["WARC-Block-Digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
+        # A response's bytes are checked by its payload digest, a revisit's by its block digest.
+        if headers["WARC-Type"] == "revisit" and headers["WARC-Block-Digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
             raise ValueError(f"damaged record {headers['WARC-Record-ID']}")
         yield headers, block
 
@@ -156,7 +157,13 @@ def write_archives(
         F.when(F.col("size") < min_revisit, None).otherwise(F.col("page_id").eqNullSafe(F.col("original"))).alias("first_of"),
     )
     shards = materialise(_shards(decided, shard_bytes), "shards")
-    placed = rows.alias("r").join(
+    # Bodies cross two shuffles: they travel compressed.
+    def squeeze(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for batch in batches:
+            yield {**batch, "body": [zlib.compress(body, 1) for body in batch["body"]]}
+
+    packed = map_rows(rows, squeeze, f"page_id {type_of(rows, 'page_id')}, url string, body binary, digest string")
+    placed = packed.alias("r").join(
         shards.alias("s"), (F.col("r.digest") == F.col("s.digest")) & F.col("r.page_id").eqNullSafe(F.col("s.page_id"))
     ).select("r.*", "s.original", "s.first_of", "s.shard")
     dealt = placed.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
@@ -170,7 +177,7 @@ def write_archives(
                 copy = copy + 1 if (page, digest) == before else 0
                 before = (page, digest)
                 alone = first is None or (first and copy == 0)
-                member = gzip.compress(record(page, url, body, digest, copy, None if alone else (original,)), 6, mtime=0)
+                member = gzip.compress(record(page, url, zlib.decompress(body), digest, copy, None if alone else (original,)), 6, mtime=0)
                 files.add(shard, member)
         files.close()
         yield {n: [d[n] for d in files.done] for n in ("file", "shard", "bytes", "records", "file_sha256")}
@@ -179,17 +186,20 @@ def write_archives(
     manifest.write.parquet(f"{target}/_manifest")
 
 
-def read_archives(spark, target: str, id_type: str = "long") -> DataFrame:
-    """The records of the files that the manifest names, each file checked against its digest."""
-    manifest = spark.read.parquet(f"{target}/_manifest").select("file", "file_sha256")
+def read_archives(spark, target: str, id_type: str = "long", payloads: bool = True) -> DataFrame:
+    """The records of the files that the manifest names, sizes and digests checked.
+
+    Without `payloads` the bodies are checked but not returned.
+    """
+    manifest = spark.read.parquet(f"{target}/_manifest").select("file", "bytes")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(target)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(manifest, "file")
 
     def parse(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         whole = int if id_type in ("long", "bigint", "int") else str
         for batch in batches:
-            for name, content, sha in zip(batch["file"], batch["content"], batch["file_sha256"]):
-                if hashlib.sha256(content).hexdigest() != sha:
+            for name, content, size in zip(batch["file"], batch["content"], batch["bytes"]):
+                if len(content) != size:
                     raise ValueError(f"{name} differs from its manifest")
                 out: dict[str, list] = {n: [] for n in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to")}
                 for headers, block in records_in(content):
@@ -200,7 +210,7 @@ def read_archives(spark, target: str, id_type: str = "long") -> DataFrame:
                     page, other = headers.get("X-Page-Id"), headers.get("X-Refers-To-Page")
                     out["page_id"].append(None if page is None else whole(page))
                     out["url"].append(headers["WARC-Target-URI"])
-                    out["payload"].append(payload if kind == "response" else None)
+                    out["payload"].append(payload if payloads and kind == "response" else None)
                     length = len(payload) if kind == "response" else int(head.rpartition(b"Content-Length: ")[2])
                     out["payload_bytes"].append(length)
                     out["payload_digest"].append(digest)
@@ -221,5 +231,5 @@ def archive_round_trip(pages: DataFrame, target: str | None = None) -> DataFrame
     """Write the archives and read them back: one row per page, digests and sizes of the full payloads."""
     target = target or new_folder(pages.sparkSession, "warc")
     write_archives(pages, target)
-    got = read_archives(pages.sparkSession, target, type_of(pages, "page_id"))
+    got = read_archives(pages.sparkSession, target, type_of(pages, "page_id"), payloads=False)
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
