@@ -102,3 +102,27 @@ def test_rebuild_does_not_count_the_adjustment_twice(rows):
     whole = st.rebuild_sessions(routes, st.session_customer_rows(scores), st.session_item_rows(items))
     row = st.flat_items(whole.withColumnRenamed("supervision_date", "date")).first()
     assert (row.recommended_qty, row.adjustment) == (4, 1)
+
+
+def test_merge_keeps_and_replaces_rows_without_a_date(rows):
+    schema = "TrxDate date, Code string, TotalQuantity double"
+    held = rows([("2024-01-01", "a", 1.0), (None, "b", 2.0), (None, "c", 3.0)], schema)
+    new = rows([("2024-01-02", "a", 4.0), (None, "c", 5.0)], schema)
+    merged = im.incremental_merge(held, new, measures=["TotalQuantity"])
+    assert sorted((str(r.TrxDate), r.Code, r.TotalQuantity) for r in merged.collect()) == [
+        ("2024-01-01", "a", 1.0), ("2024-01-02", "a", 4.0), ("None", "b", 2.0), ("None", "c", 5.0)
+    ]
+    undated = im.incremental_merge(held, new.filter("TrxDate is null"), measures=["TotalQuantity"])
+    assert undated.count() == 3
+
+
+def test_a_second_stop_does_not_multiply_items(rows):
+    items = rows(
+        [("s", "r", "2024-01-01", "c1", "i1", 5, 0, 0, False, False, False, None)],
+        "session_id string, route_code string, date date, customer_code string, item_code string, recommended_qty int, "
+        "adjustment int, actual_qty int, was_sold boolean, was_edited boolean, visited boolean, visit_sequence int",
+    )
+    visits = rows([("s", "c1", 1), ("s", "c1", 3)], "session_id string, customer_code string, visit_order int")
+    sales = rows([("r", "2024-01-01", "c1", "i1", 4.0)], "RouteCode string, TrxDate date, CustomerCode string, ItemCode string, TotalQuantity double")
+    got = sv.apply_visits(items, visits, sales).collect()
+    assert [(r.actual_qty, r.visit_sequence) for r in got] == [(4, 1)]

@@ -220,7 +220,7 @@ ORACLES = {
         WHERE CategoryName IS NOT NULL GROUP BY CategoryName
         ORDER BY quantity DESC, CategoryName LIMIT 10""",
     "H5_item_catalog": _S + f"""SELECT trim(ItemCode) AS ItemCode, ItemName, CategoryName,
-        {sb.rint('AVG(AvgUnitPrice)', 2)} AS avg_price,
+        {sb.rint(f"CAST(SUM(CAST({sb.rint('AvgUnitPrice * 100', 0)} AS BIGINT)) AS DOUBLE) / COUNT(AvgUnitPrice)", 0)} / 100 AS avg_price,
         {sb.rint("arg_max(AvgUnitPrice, (TrxDate, WarehouseCode, RouteCode, AvgUnitPrice))", 2)} AS last_price,
         {sb.rint('SUM(TotalQuantity)', 1)} AS total_quantity, COUNT(TrxDate) AS transactions,
         MAX(TrxDate) AS last_seen FROM rev

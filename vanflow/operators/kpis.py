@@ -91,7 +91,8 @@ def item_catalog(sales: DataFrame, days: int = 365) -> DataFrame:
         recent.dropna(subset=["ItemCode", "ItemName", "CategoryName"])
         .groupBy(clean_code("ItemCode").alias("ItemCode"), "ItemName", "CategoryName")
         .agg(
-            py_round(F.avg("AvgUnitPrice"), 2).alias("avg_price"),
+            # Whole cents add up alike in any order.
+            (F.rint(F.sum(F.rint(F.col("AvgUnitPrice") * 100).cast("long")) / F.count("AvgUnitPrice")) / 100).alias("avg_price"),
             py_round(F.max(newest)["AvgUnitPrice"], 2).alias("last_price"),
             py_round(F.sum("TotalQuantity"), 1).alias("total_quantity"),
             F.count("TrxDate").alias("transactions"),

@@ -120,11 +120,13 @@ def apply_visits(items: DataFrame, visits: DataFrame, sales: DataFrame) -> DataF
     fresh = items.filter(~F.col("visited")).select("session_id", "customer_code").distinct()
     order = Window.partitionBy("session_id").orderBy("visit_order", "customer_code")
     stops = visits.join(fresh, ["session_id", "customer_code"], "left_semi").join(known, "session_id")
+    # A customer's later stops overwrite quantities but keep the number of the first.
+    stops = stops.groupBy("session_id", "customer_code", "_done").agg(F.min("visit_order").alias("visit_order"))
     numbered = stops.select(
         "session_id", "customer_code",
         (F.coalesce("_done", F.lit(0)) + F.row_number().over(order)).alias("_seq"),
     )
-    again = visits.select("session_id", "customer_code", F.lit(True).alias("_stop"))
+    again = visits.select("session_id", "customer_code", F.lit(True).alias("_stop")).distinct()
     sold = sales.groupBy(
         F.col("RouteCode").alias("route_code"), F.col("TrxDate").alias("date"),
         F.col("CustomerCode").alias("customer_code"), F.col("ItemCode").alias("item_code"),

@@ -161,7 +161,8 @@ def incremental_merge(
 
     Keys are all columns but the measures, compared null-safely. Existing rows
     older than the first incoming date cannot collide, so only the overlap is
-    shuffled for the anti-join. ``sequence`` orders duplicates inside a batch.
+    shuffled for the anti-join; rows without a date are compared and kept like
+    any other. ``sequence`` orders duplicates inside a batch.
     """
     keys = [c for c in existing.columns if c not in measures]
     if sequence is None:
@@ -171,8 +172,9 @@ def incremental_merge(
         latest = incoming.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
     latest = latest.select(*existing.columns)
     first = incoming.agg(F.min(date_col)).scalar()
-    untouched = existing.filter(first.isNull() | (F.col(date_col) < first))
-    overlap = existing.filter(F.col(date_col) >= first)
+    undated = F.col(date_col).isNull()
+    untouched = existing.filter(~undated & (first.isNull() | (F.col(date_col) < first)))
+    overlap = existing.filter(undated | (F.col(date_col) >= first))
     new_keys = latest.select(*[F.col(k).alias(f"_{k}") for k in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     survivors = overlap.join(new_keys, same, "left_anti")
@@ -192,7 +194,7 @@ def refresh_all(datasets: dict[str, tuple[DataFrame, str]], base: str) -> dict[s
         path = f"{base}/{name}"
         (
             df.withColumn("_month", F.date_format(date_col, "yyyy-MM"))
-            .repartition("_month")
+            .hint("rebalance", F.col("_month"))
             .write.mode("overwrite")
             .partitionBy("_month")
             .parquet(path)

@@ -45,7 +45,7 @@ FORECAST_RESULTS = {
 def replace_slices(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Overwrite exactly the partitions the frame touches."""
     (
-        df.repartition(*partition_by)
+        df.hint("rebalance", *[F.col(c) for c in partition_by])
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by).parquet(path)
     )
