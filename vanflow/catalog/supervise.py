@@ -20,7 +20,10 @@ from vanflow.session import shared_dir
 from vanflow.sources import fixtures as fx
 from vanflow.sources import stores as st
 
-KEY = F.col("customer_code").cast("int")
+
+def visit_key():
+    """The order of stops; built when a session is there."""
+    return F.col("customer_code").cast("int")
 
 
 def folder(s, name):
@@ -41,7 +44,7 @@ def opened(s, d):
 
 def visits(s, d):
     stops = items(s, d).filter("visited").select("session_id", "customer_code").distinct()
-    return stops.withColumn("visit_order", KEY)
+    return stops.withColumn("visit_order", visit_key())
 
 
 def applied(s, d):
@@ -64,7 +67,7 @@ def _redistributed(s, d):
 
 
 def _updated(s, d):
-    edits = items(s, d).filter(F.col("visited") & ((KEY + F.length("item_code")) % 11 == 0)).select(
+    edits = items(s, d).filter(F.col("visited") & ((visit_key() + F.length("item_code")) % 11 == 0)).select(
         "session_id", "customer_code", "item_code", F.col("recommended_qty").alias("new_qty"))
     return sv.customer_scores(sv.update_actuals(items(s, d), edits))
 
