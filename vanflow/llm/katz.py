@@ -208,6 +208,12 @@ def _by_chunk(kind: str, who: np.ndarray, arrays: dict[str, np.ndarray]) -> Iter
         yield kind, int(chunks[low]), pack(part), None
 
 
+def _trained(b: dict[str, np.ndarray]) -> np.ndarray:
+    """Occurrences of each pair of a chunk in training documents."""
+    learned = np.unpackbits(b["train"])[b["d"]]
+    return np.add.reduceat(learned, np.cumsum(b["n"], dtype=np.int64) - b["n"], dtype=np.uint32)
+
+
 def _merge_bucket(buckets: int, hot_words: np.ndarray, hot_counts: np.ndarray):
     """Counts of a bucket's pairs and words; sums per document and per context."""
 
@@ -217,22 +223,22 @@ def _merge_bucket(buckets: int, hot_words: np.ndarray, hot_counts: np.ndarray):
         blobs = [b for b in blobs if "keys" not in b]
         if not blobs:
             return _table(rows)
-        held = [np.unique(b["d"], return_inverse=True) for b in blobs]
-        offsets = np.cumsum([0, *[len(present) for present, _ in held]])
-        who = np.concatenate([(int(b["chunk"][0]) << 16) + present.astype(np.int64) for b, (present, _) in zip(blobs, held)])
+        # Entries are pairs of a chunk; only they are held together, tokens are unfolded chunk by chunk.
+        edges = np.cumsum([0, *[len(b["h"]) for b in blobs]])
         words = np.concatenate([np.repeat(b["w"], b["kinds"]) for b in blobs])
         contexts = np.concatenate([b["h"] for b in blobs])
-        n = np.concatenate([b["n"] for b in blobs]).astype(np.int64)
-        doc = np.concatenate([local + o for (_, local), o in zip(held, offsets)])
-        learned = np.concatenate([np.unpackbits(b["train"])[present] for b, (present, _) in zip(blobs, held)])[doc]
-        trained = np.add.reduceat(learned.astype(np.int64), np.cumsum(n) - n)
-        del blobs, held
+        trained = np.concatenate([_trained(b) for b in blobs])
+        for b in blobs:
+            del b["w"], b["kinds"], b["h"]
         order = np.lexsort((contexts, words))
-        first = _starts(words[order], contexts[order])
-        pair_count = np.add.reduceat(trained[order], first)
-        pair_of = np.empty(len(words), np.int64)
-        pair_of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        w, h = words[order][first], contexts[order][first]
+        w, h, trained = words[order], contexts[order], trained[order]
+        del words, contexts
+        first = _starts(w, h)
+        pair_count = np.add.reduceat(trained, first).astype(np.int64)
+        pair_of = np.empty(len(order), np.int32)
+        pair_of[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
+        w, h = w[first], h[first]
+        del order, first, trained
         own = _starts(w)
         word_count = np.add.reduceat(pair_count, own)
         word = w[own]
@@ -241,18 +247,34 @@ def _merge_bucket(buckets: int, hot_words: np.ndarray, hot_counts: np.ndarray):
             word_count = np.where(hot_words[at] == word, hot_counts[at], word_count)
         cw_pair = np.repeat(word_count, np.diff(np.append(own, len(w))))
 
-        pair = np.repeat(pair_of, n)
-        chw, cw, size = pair_count[pair], cw_pair[pair], len(who)
-        seen = chw > 0
-        log_cw = np.log10(np.maximum(cw, 1))
-        total = lambda mask: np.bincount(doc[mask], minlength=size).astype(np.uint32)
-        doc_sums = {
-            "base": np.bincount(doc, np.log10(cw + 1.0), size),
-            "log": np.bincount(doc, np.where(seen, np.log10(np.maximum(chw, 1)), log_cw) - np.where(w[pair] == END, 0, log_cw), size),
-            "tokens": total(slice(None)), "known": total(cw > 0), "seen": total(seen),
-            **{f"m{r}": total(chw == r) for r in range(1, CLASSES + 1)}, **{f"u{r}": total(~seen & (cw == r)) for r in range(CLASSES + 1)},
-        }
-        rows += _by_chunk("doc", who, doc_sums)
+        lost_contexts, lost_docs = [], []
+        for low, high in zip(edges[:-1], edges[1:]):
+            b = blobs.pop(0)
+            chunk = int(b["chunk"][0])
+            present, doc = np.unique(b["d"], return_inverse=True)
+            pair = np.repeat(pair_of[low:high], b["n"])
+            chw, cw, size = pair_count[pair], cw_pair[pair], len(present)
+            seen = chw > 0
+            log_cw = np.log10(np.maximum(cw, 1))
+            total = lambda mask: np.bincount(doc[mask], minlength=size).astype(np.uint32)  # noqa: E731, B023
+            doc_sums = {
+                "d": present,
+                "base": np.bincount(doc, np.log10(cw + 1.0), size),
+                "log": np.bincount(doc, np.where(seen, np.log10(np.maximum(chw, 1)), log_cw) - np.where(w[pair] == END, 0, log_cw), size),
+                "tokens": total(slice(None)), "known": total(cw > 0), "seen": total(seen),
+                **{f"m{r}": total(chw == r) for r in range(1, CLASSES + 1)}, **{f"u{r}": total(~seen & (cw == r)) for r in range(CLASSES + 1)},
+            }
+            rows.append(("doc", chunk, pack(doc_sums), None))
+            lost = np.flatnonzero(~seen)
+            missed, holder = h[pair[lost]], b["d"][lost]
+            often = np.isin(missed, hot_words)
+            if often.any():
+                rows.append(("hot", chunk, pack({"d": holder[often], "h": missed[often]}), None))
+            lost_contexts.append(missed[~often])
+            lost_docs.append((chunk << 16) + holder[~often].astype(np.int64))
+        missed, holder = np.concatenate(lost_contexts), np.concatenate(lost_docs)
+        del pair_of, lost_contexts, lost_docs
+        rows += _by_bucket("unseen", buckets, missed, {"h": missed, "who": holder})
 
         has = pair_count > 0
         order = np.argsort(h[has], kind="stable")
@@ -269,12 +291,6 @@ def _merge_bucket(buckets: int, hot_words: np.ndarray, hot_counts: np.ndarray):
         kept = word_count > 0
         rows += _by_bucket("word", buckets, word[kept], {"w": word[kept], "c": word_count[kept]})
 
-        lost = np.flatnonzero(~seen)
-        missed, holder = h[pair[lost]], who[doc[lost]]
-        often = np.isin(missed, hot_words)
-        rows += _by_bucket("unseen", buckets, missed[~often], {"h": missed[~often], "who": holder[~often]})
-        rows += _by_chunk("hot", holder[often], {"h": missed[often]})
-
         kinds = [int((pair_count == r).sum()) for r in range(1, CLASSES + 2)] + [int((word_count == r).sum()) for r in range(1, CLASSES + 2)]
         cold = kept if not len(hot_words) else kept & ~np.isin(word, hot_words)
         rows.append(("stats", -1, None, [*kinds, int(cold.sum()), int(word_count[cold].sum())]))
@@ -395,12 +411,13 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     def finish(table: pa.Table) -> pa.Table:
         """Sums of the documents of a chunk, with all constants in."""
-        blobs = list(zip(table.column("kind").to_pylist(), map(unpack, table.column("blob").to_pylist())))
-        keys = next(a["keys"] for kind, a in blobs if kind == "keys")
+        kinds_, packed_ = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+        keys = unpack(packed_[kinds_.index("keys")])["keys"]
         sums = np.zeros((4, len(keys)))
-        for kind, a in blobs:
+        for kind, blob in zip(kinds_, packed_):
             if kind == "keys":
                 continue
+            a = unpack(blob)
             base = tokens_ = known = np.zeros(len(a["d"]))
             if kind == "hot":
                 score = np.array([often.get(int(h), 0.0) for h in a["h"]])
