@@ -168,8 +168,8 @@ def recency_half_life(cycle: Column, c: Clamps) -> Column:
 
 def pair_confidences(purchases: DataFrame, splits: Splits = SPLITS) -> DataFrame:
     """P(item | anchor) over customers, for anchors with three buyers and two in common."""
-    counts = item_pair_counts(purchases, splits=splits)
-    return counts.filter((F.col("buyers") >= 3) & (F.col("both") >= 2)).withColumn(
+    counts = item_pair_counts(purchases, splits=splits, min_both=2)
+    return counts.filter(F.col("buyers") >= 3).withColumn(
         "confidence", F.col("both") / F.col("buyers")
     )
 

@@ -58,11 +58,22 @@ def item_pair_counts(
     customer: str = "CustomerCode",
     item: str = "ItemCode",
     splits: Splits = SPLITS,
+    min_both: int = 1,
 ) -> DataFrame:
-    """Customers buying both items, per route and ordered item pair, with each item's buyers."""
+    """Customers buying both items, per route and ordered item pair, with each item's buyers.
+
+    Pairs with fewer than `min_both` common customers are left out; items with
+    fewer buyers than that cannot reach it and are never tiled.
+    """
     base = purchases.select(
         F.col(route).alias("route"), F.col(customer).alias("customer"), F.col(item).alias("item")
     ).distinct()
+    buyers = base.groupBy("route", F.col("item").alias("a")).agg(
+        F.count(F.lit(1)).alias("buyers")
+    )
+    if min_both > 1:
+        often = buyers.filter(F.col("buyers") >= min_both).select("route", F.col("a").alias("item"))
+        base = base.join(often, ["route", "item"], "left_semi")
     size = _per_route(base.groupBy("route").agg(
         F.countDistinct("customer").alias("_nc"), F.countDistinct("item").alias("_ni")
     ))
@@ -83,13 +94,11 @@ def item_pair_counts(
         copies.groupBy("route", "chunk", "left", "right")
         .applyInPandas(_count_tile, "route string, a string, b string, both bigint")
         .groupBy("route", "a", "b").agg(F.sum("both").alias("both"))
+        .filter(F.col("both") >= min_both)
     )
     directed = counted.unionByName(
         counted.select("route", F.col("b").alias("a"), F.col("a").alias("b"), "both")
     )
-    buyers = base.groupBy("route", F.col("item").alias("a")).agg(
-        F.count(F.lit(1)).alias("buyers")
-    )
     return directed.join(buyers, ["route", "a"]).select(
         F.col("route").alias(route), F.col("a").alias("anchor"), F.col("b").alias("item"),
         "buyers", "both",

@@ -206,18 +206,22 @@ def replay_item(
     adj = adj.copy()
     cap = np.maximum(1, (rec * cfg.max_increase).astype(np.int64))
     unsold = np.zeros(len(rec), dtype=np.int64)
-    for i in np.argsort(seq, kind="stable"):
-        if seq[i] == NOT_VISITED:
-            break
+    n = len(rec)
+    following, previous = [*range(1, n + 1), 0], [n, *range(n)]  # waiting holders, a ring closed by place n
+    visits = np.argsort(seq, kind="stable")[: np.count_nonzero(seq != NOT_VISITED)].tolist()
+    gone = 0
+    for i in visits:
+        while gone < len(visits) and seq[visits[gone]] <= seq[i]:
+            j = visits[gone]
+            following[previous[j]], previous[following[j]] = following[j], previous[j]
+            gone += 1
         left = unsold[i] = max(0, rec[i] + adj[i] - act[i])
-        if left == 0:
-            continue
-        for j in np.flatnonzero(seq > seq[i])[: cfg.max_recipients]:
-            if left <= 0:
-                break
+        j, passed = following[n], 0
+        while left > 0 and j != n and passed < cfg.max_recipients:
             give = min(left, cap[j])
             adj[j] += give
             left -= give
+            j, passed = following[j], passed + 1
     return adj, unsold
 
 
