@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vanflow.config import DEMAND
 from vanflow.operators import classify, evaluate, features, forecasters, mlmodels, panel
+from vanflow.plans import train as plan_train
 
 CFG = replace(DEMAND, meta_cols=(), causal_cols=())
 RAW = "RouteCode string, ItemCode string, TrxDate date, TotalQuantity double"
@@ -153,3 +154,44 @@ def test_two_stage_with_few_positives_uses_the_mean(rows):
     df = rows(series("A", [0, 0, 0, 4]), RAW).withColumn("x", F.lit(1.0))
     fitted = mlmodels.fit_model("two_stage", df, CFG, ["x"])
     assert fitted.model is None and fitted.constant == 1.0
+
+
+def test_training_covers_unnamed_classes_and_survives_storage(rows, spark, tmp_path):
+    rng = random.Random(4)
+    data = []
+    for i in range(4):
+        data += series(f"S{i}", [10 + rng.random() for _ in range(500)])
+        data += series(f"L{i}", [rng.choice((0, 0, 0, 1, 30)) for _ in range(500)])
+    cfg = replace(CFG, models={"smooth": ("moving_average", "linear", "depthwise_trees", "ensemble")})
+    small = mlmodels.MLSettings({"depthwise_trees": {"rounds": 5, "depth": 2}})
+    raw = rows(data, RAW)
+    done = plan_train.train(raw, cfg, settings=small)
+    pairs = {(r.ItemCode, r["class"]) for r in done.classes.collect()}
+    assert {c for _, c in pairs} > {"smooth"}
+    used = {(r["class"], r.model) for r in done.val.select("class", "model").distinct().collect()}
+    for cls in {c for _, c in pairs} - {"smooth"}:
+        assert {m for c, m in used if c == cls} == set(cfg.fallback_models)
+    assert {m for c, m in used if c == "smooth"} == {"moving_average", "linear", "depthwise_trees", "ensemble"}
+
+    plan_train.save_trained(done, str(tmp_path / "run"))
+    again = plan_train.load_trained(spark, str(tmp_path / "run"))
+    columns = ["ItemCode", "TrxDate", "model_used", "prediction", "q_10", "q_90"]
+    ahead, reread = (
+        sorted(map(tuple, plan_train.infer(raw, t, cfg).select(*columns).collect())) for t in (done, again)
+    )
+    assert ahead == reread and {r[0] for r in ahead} == {i for i, _ in pairs}
+
+
+def test_boosting_stops_when_held_rows_gain_nothing(rows):
+    data = [("r", "A", "2024-01-01", float(i % 2), float(i % 2)) for i in range(80)]
+    df = rows(data, RAW + ", x double")
+    settings = mlmodels.MLSettings({"gradient_boosting": {"rounds": 40, "depth": 2, "step": 0.1}})
+    fitted = mlmodels.fit_model("gradient_boosting", df, CFG, ["x"], settings, df)
+    assert fitted.model.stages[-1].getNumTrees < 40
+    assert fitted.refit_settings(settings).of("gradient_boosting")["rounds"] == fitted.model.stages[-1].getNumTrees
+
+
+def test_one_usable_model_makes_no_ensemble(rows):
+    scores = rows([("a", "m1", 1.0), ("a", "m2", 3.0), ("b", "m1", 2.0), ("b", "m2", None)], "class string, model string, rmse double")
+    out = forecasters.inverse_metric_weights(scores, "rmse", least=2).orderBy("model").collect()
+    assert [(r["class"], r.model, round(r.weight, 6)) for r in out] == [("a", "m1", 0.75), ("a", "m2", 0.25)]

@@ -115,14 +115,15 @@ def test_replay_and_stream_match_a_visit_by_visit_loop(spark, rows, tmp_path):
                         F.col("recommended_qty").alias("quantity"), "tier", "priority_score", F.lit(0).alias("visit_sequence"))
     visit = items.filter("visited").select("session_id", "item_code", F.lit("visit").alias("kind"), "customer_code",
                                            F.col("actual_qty").alias("quantity"), "tier", "priority_score", "visit_sequence")
-    path, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
-    stream = None
-    for part in (plan, visit.filter("visit_sequence <= 3"), visit.filter("visit_sequence > 3")):
-        part.write.mode("append").parquet(path)
-        stream = live.live_session_state(live.read_files(spark, path, T.StructType.fromDDL(live.SESSION_EVENT)))
-        live.drain(stream, out, cp)
-    final = live.latest_state(spark, out, stream.schema, ["session_id", "item_code", "customer_code"])
-    assert {(r.session_id, r.customer_code, r.item_code): (r.adjustment, r.unsold) for r in final.collect()} == want
+    first, rest = visit.filter("visit_sequence <= 3"), visit.filter("visit_sequence > 3")
+    for label, parts in (("planned", (plan, first, rest)), ("early", (first, plan, rest))):
+        path, out, cp = (str(tmp_path / label / x) for x in ("in", "out", "cp"))
+        for part in parts:
+            part.write.mode("append").parquet(path)
+            stream = live.live_session_state(live.read_files(spark, path, T.StructType.fromDDL(live.SESSION_EVENT)))
+            live.drain(stream, out, cp)
+        final = live.latest_state(spark, out, stream.schema, ["session_id", "item_code", "customer_code"])
+        assert {(r.session_id, r.customer_code, r.item_code): (r.adjustment, r.unsold) for r in final.collect()} == want, label
 
 
 def test_redistribution_never_exceeds_what_was_unsold(rows):

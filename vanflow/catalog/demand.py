@@ -83,11 +83,15 @@ def _class_features(s, d):
     return features.class_features(monthly_panel(s, d), monthly_classes(s, d), MONTHLY)
 
 
-def _feature_list(s, d):
-    df = features.build_features(
+def feature_frame(s, d):
+    return features.build_features(
         monthly_panel(s, d), monthly_classes(s, d), MONTHLY, monthly_train(s, d),
         features.holiday_names(holiday_calendar(s, d)),
     )
+
+
+def _feature_list(s, d):
+    df = feature_frame(s, d)
     cols = features.feature_columns(df, MONTHLY)
     one = df.agg(*[F.count(c).alias(c) for c in cols])
     return one.select(F.inline(F.array(*[

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vanflow.catalog import demand as dm
 from vanflow.catalog import sqlbase as sb
 from vanflow.catalog.helpers import rounded, shared
-from vanflow.operators import classify, evaluate, forecasters, panel
+from vanflow.operators import classify, evaluate, features, forecasters, panel
 
 CFG = dm.MONTHLY
 KEYS = list(CFG.group_keys)
@@ -120,12 +120,21 @@ QUERIES = {
     "F17_forecast_kpis": lambda s, d: evaluate.forecast_kpis(
         stitched(s, d), classes(s, d), future_forecast(s, d), CFG),
     "F18_training_overview": lambda s, d: evaluate.training_overview(
-        stitched(s, d), metrics(s, d, "test"), CFG, 54),
+        stitched(s, d), metrics(s, d, "test"), CFG,
+        len(features.feature_columns(dm.feature_frame(s, d), dm.MONTHLY))),
 }
 
 _SPLIT = f"""sp AS (SELECT *, CASE WHEN TrxDate >= {dm.M_TEST} THEN 'test'
     WHEN TrxDate >= {dm.M_VAL} THEN 'val' ELSE 'train' END AS split FROM panel)"""
 _ALPHAS = CFG.ets_alphas
+# Price, activity, history length; dates; lags; rolling statistics; three of gaps; holidays in all; events; encoding;
+# and two holidays a region.
+_SETTLED = (
+    3 + 10 + len({n for lags in CFG.lags.values() for n in lags})
+    + len(CFG.rolling_windows) * len({x for stats in CFG.rolling_stats.values() for x in stats})
+    + 3 + 1 + len(CFG.custom_events) + 1
+)
+_FEATURES = f"CAST({_SETTLED} + 2 * (SELECT COUNT(DISTINCT r_name) FROM region) AS INTEGER)"
 
 
 def _levels(name: str, source: str, cond: str) -> str:
@@ -282,6 +291,6 @@ ORACLES = {
       SELECT class, best_model, {sb.rint('score', 1)} AS score, models_competed,
         (SELECT MIN(TrxDate) FROM st) AS test_date_start, (SELECT MAX(TrxDate) FROM st) AS test_date_end,
         (SELECT COUNT(DISTINCT RouteCode) FROM st) AS test_routes,
-        (SELECT COUNT(DISTINCT ItemCode) FROM st) AS test_items, 54 AS feature_count
+        (SELECT COUNT(DISTINCT ItemCode) FROM st) AS test_items, {_FEATURES} AS feature_count
       FROM w JOIN cc USING (class)""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vanflow.config import DASHBOARD, DashboardConfig
 from vanflow.functions.numeric import py_round, ratio
 from vanflow.functions.text import clean_code
 from vanflow.operators.scoring import array_total
@@ -140,9 +141,11 @@ def item_prices(customer: DataFrame) -> DataFrame:
 
 def upcoming_plan(
     spark: SparkSession, journey: DataFrame, demand: DataFrame, prices: DataFrame,
-    today: str, days: int,
+    today: str, days: int, cfg: DashboardConfig = DASHBOARD,
 ) -> DataFrame:
-    """Planned customers and routes, predicted quantity and revenue per day of the horizon."""
+    """Planned customers and routes, predicted quantity and revenue per day of the horizon (1 to `max_plan_days`)."""
+    if not 1 <= days <= cfg.max_plan_days:
+        raise ValueError(f"days must be between 1 and {cfg.max_plan_days}")
     start = F.lit(today).cast("date")
     horizon = spark.range(1).select(
         F.explode(F.sequence(start, F.date_add(start, days - 1))).alias("date")

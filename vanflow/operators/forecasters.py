@@ -179,13 +179,15 @@ def seasonal_smoothing(
 
 
 def inverse_metric_weights(
-    metrics: DataFrame, metric: str, by: Sequence[str] = ("class",), eps: float = 1e-9
+    metrics: DataFrame, metric: str, by: Sequence[str] = ("class",), eps: float = 1e-9, least: int = 1
 ) -> DataFrame:
-    """1 / metric per model, normalised within each group; unusable metrics are dropped."""
+    """1 / metric per model, normalised within each group; unusable metrics and groups of under `least` models are dropped."""
     finite = metrics.filter(F.col(metric).isNotNull() & (F.abs(F.col(metric)) < float("inf")))
     inverse = F.lit(1.0) / (F.col(metric) + F.lit(eps))
     total = F.sum(inverse).over(Window.partitionBy(*by))
-    return finite.select(*by, "model", (inverse / total).alias("weight"))
+    usable = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    weighed = finite.select(*by, "model", (inverse / total).alias("weight"), usable.alias("_usable"))
+    return weighed.filter(F.col("_usable") >= least).drop("_usable")
 
 
 def weighted_ensemble(

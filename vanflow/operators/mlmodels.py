@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -47,6 +49,10 @@ DEFAULTS = {
     "depthwise_trees": {"rounds": 400, "depth": 6, "step": 0.05, "rows": 0.9, "features": 0.9},
     "two_stage": {"regressor": "leafwise_trees"},
 }
+BOOSTED = ("gradient_boosting", "leafwise_trees", "depthwise_trees")
+# boosting ends at the first round that lowers the held-out error by less than this share
+STOP_BELOW = 1e-6
+TRIALS_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -58,6 +64,9 @@ class MLSettings:
     def of(self, name: str) -> dict:
         return {**DEFAULTS[name], **self.params.get(name, {})}
 
+    def override(self, name: str, **params) -> MLSettings:
+        return replace(self, params={**self.params, name: {**self.params.get(name, {}), **params}})
+
 
 @dataclass(frozen=True)
 class Fitted:
@@ -70,6 +79,13 @@ class Fitted:
     gate: PipelineModel | None = None
     threshold: float = 0.5
 
+    def refit_settings(self, settings: MLSettings) -> MLSettings:
+        """Settings for a fit on more rows: boosting takes as many rounds as it took to converge here."""
+        inner = self.name.split("/")[-1]
+        if self.model is None or inner not in BOOSTED:
+            return settings
+        return settings.override(inner, rounds=self.model.stages[-1].getNumTrees)
+
 
 def _prepared(df: DataFrame, features: Sequence[str], name: str) -> tuple[DataFrame, list[str]]:
     """Numeric inputs without nulls; some models get missing-value indicators."""
@@ -79,7 +95,7 @@ def _prepared(df: DataFrame, features: Sequence[str], name: str) -> tuple[DataFr
     return df.withColumns(values), list(values)
 
 
-def _regressor(name: str, p: dict, seed: int, rows: int):
+def _regressor(name: str, p: dict, seed: int, rows: int, held: bool):
     common = {"featuresCol": "features", "labelCol": "label", "predictionCol": "raw"}
     if name == "linear":
         # one half of the mean squared error plus reg/2 |w|^2: alpha is spread over the rows
@@ -96,6 +112,7 @@ def _regressor(name: str, p: dict, seed: int, rows: int):
         **common, maxIter=int(p["rounds"]), maxDepth=int(p["depth"]), stepSize=float(p["step"]),
         minInstancesPerNode=int(p.get("min_leaf", 1)), subsamplingRate=float(p.get("rows", 1.0)),
         featureSubsetStrategy=str(float(p.get("features", 1.0))), seed=seed,
+        **({"validationIndicatorCol": "held", "validationTol": STOP_BELOW} if held else {}),
     )
 
 
@@ -108,19 +125,23 @@ def _pipeline(inputs: list[str], estimator, scaled: bool = False) -> Pipeline:
 
 def fit_regressor(
     name: str, train: DataFrame, cfg: DemandConfig, features: Sequence[str],
-    settings: MLSettings, rows: int | None = None,
+    settings: MLSettings, rows: int | None = None, held: DataFrame | None = None,
 ) -> Fitted:
+    """Fit one regressor; boosting stops by the error on the `held` rows where some are given."""
     y = F.col(cfg.target_col).cast("double")
+    stops = name in BOOSTED and held is not None and not held.filter(y.isNotNull()).isEmpty()
+    if stops:
+        train = train.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)))
     data, inputs = _prepared(train.filter(y.isNotNull()).withColumn("label", y), features, name)
     if name == "linear" and rows is None:
         rows = data.count()
-    estimator = _regressor(name, settings.of(name), cfg.seed, rows or 0)
+    estimator = _regressor(name, settings.of(name), cfg.seed, rows or 0, stops)
     model = _pipeline(inputs, estimator, scaled=name == "linear").fit(data)
     return Fitted(name, tuple(features), model)
 
 
 def fit_two_stage(
-    train: DataFrame, cfg: DemandConfig, features: Sequence[str], settings: MLSettings
+    train: DataFrame, cfg: DemandConfig, features: Sequence[str], settings: MLSettings, held: DataFrame | None = None,
 ) -> Fitted:
     """Balanced classifier of demand, regressor on the positive rows."""
     y = F.col(cfg.target_col).cast("double")
@@ -141,7 +162,8 @@ def fit_two_stage(
         gate = _pipeline(inputs, classifier, scaled=True).fit(rows)
     inner = None
     if positives >= 5:
-        inner = fit_regressor(settings.of("two_stage")["regressor"], data.filter(y > 0), cfg, features, settings)
+        inner = fit_regressor(settings.of("two_stage")["regressor"], data.filter(y > 0), cfg, features, settings,
+                              held=None if held is None else held.filter(y > 0))
     return Fitted(
         "two_stage" if inner is None else f"two_stage/{inner.name}", tuple(features),
         inner.model if inner else None, float(mean or 0.0), gate, cfg.two_stage_threshold,
@@ -150,11 +172,11 @@ def fit_two_stage(
 
 def fit_model(
     name: str, train: DataFrame, cfg: DemandConfig, features: Sequence[str],
-    settings: MLSettings = MLSettings(),
+    settings: MLSettings = MLSettings(), held: DataFrame | None = None,
 ) -> Fitted:
     if name == "two_stage":
-        return fit_two_stage(train, cfg, features, settings)
-    return fit_regressor(name, train, cfg, features, settings)
+        return fit_two_stage(train, cfg, features, settings, held)
+    return fit_regressor(name, train, cfg, features, settings, held=held)
 
 
 def predict(fitted: Fitted, rows: DataFrame, cfg: DemandConfig, keep: Sequence[str] = ()) -> DataFrame:
@@ -212,19 +234,23 @@ def random_search(
     rng = random.Random(cfg.seed)
     cutoffs = [r["cutoff"] for r in temporal_folds(data, cfg).orderBy("fold").collect()]
     date = F.col(cfg.date_col)
-    results = []
-    for trial in range(trials if trials is not None else cfg.tuning_trials):
-        params = _draw(space, rng)
-        tried = replace(settings, params={**settings.params, name: {**settings.params.get(name, {}), **params}})
+    drawn = [_draw(space, rng) for _ in range(trials if trials is not None else cfg.tuning_trials)]
+
+    def attempt(trial: int, params: dict) -> dict:
+        tried = settings.override(name, **params)
         errors = []
         for cut in cutoffs:
-            fitted = fit_model(name, data.filter(date < F.lit(cut)), cfg, features, tried)
-            held = predict(fitted, data.filter(date == F.lit(cut)), cfg, keep=[cfg.target_col])
+            ahead = data.filter(date == F.lit(cut))
+            fitted = fit_model(name, data.filter(date < F.lit(cut)), cfg, features, tried, ahead)
+            held = predict(fitted, ahead, cfg, keep=[cfg.target_col])
             error = held.agg(*metric_columns(cfg.target_col, "prediction", [cfg.selection_metric])).first()[0]
             if error is not None and math.isfinite(error):
                 errors.append(error)
         score = sum(errors) / len(errors) if errors else float("inf")
-        results.append({"model": name, "trial": trial, "score": score, "settings": tried, "params": params})
+        return {"model": name, "trial": trial, "score": score, "settings": tried, "params": params}
+
+    with ThreadPoolExecutor(TRIALS_AT_ONCE) as pool:
+        results = list(pool.map(inheritable_thread_target(data.sparkSession)(attempt), range(len(drawn)), drawn))
     best = min(results, key=lambda r: r["score"], default=None)
     return (best["settings"] if best else settings), results
 

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vanflow.config import DemandConfig
 from vanflow.operators import classify, evaluate, features, forecasters, mlmodels, panel
 from vanflow.session import cut_lineage
 
+FITS_AT_ONCE = 4
+
 
 @dataclass(frozen=True)
 class Trained:
@@ -56,12 +61,19 @@ def _with_class(predictions: DataFrame, cls: str, model: str) -> DataFrame:
     return predictions.withColumns({"class": F.lit(cls), "model": F.lit(model)})
 
 
-def _stat_predictions(fit: DataFrame, rows: DataFrame, classes: DataFrame, cfg: DemandConfig) -> DataFrame:
-    """All statistical models for all classes in one job, then each class's own ones."""
+def _stat_predictions(
+    fit: DataFrame, rows: DataFrame, classes: DataFrame, cfg: DemandConfig, always: Sequence[str] = ()
+) -> DataFrame:
+    """All statistical models for all classes in one job, then each class's own ones and those named in `always`.
+
+    A class that the configuration does not name gets the fallback models.
+    """
     keys = list(cfg.group_keys)
     levels = forecasters.stat_levels(fit, cfg)
     flat = forecasters.flat_forecast(levels, rows.select(*keys, cfg.date_col, cfg.target_col), cfg)
-    enabled = F.lit(False)
+    enabled = F.col("model").isin(*always) if always else F.lit(False)
+    unnamed = ~F.coalesce(F.col("class").isin(*cfg.models), F.lit(False))
+    enabled = enabled | (unnamed & F.col("model").isin(*cfg.fallback_models))
     for cls, models in cfg.models.items():
         own = [m for m in models if m in forecasters.STAT_MODELS]
         if own:
@@ -89,27 +101,34 @@ def train(
     test_parts = [_stat_predictions(fit_all, part("test"), classes, cfg)]
     order = val_parts[0].columns
     models: dict[tuple[str, str], mlmodels.Fitted] = {}
-    present = {r["class"] for r in classes.select("class").distinct().collect()}
-    for cls in [c for c in cfg.models if c in present]:
-        own = lambda df: df.filter(F.col("class") == cls)  # noqa: E731, B023
-        for name in [m for m in cfg.models[cls] if m in mlmodels.ML_MODELS]:
-            chosen = settings
-            if name in tune:
-                chosen, _ = mlmodels.random_search(name, own(fit_all), cfg, columns, settings)
-            held = mlmodels.predict(
-                mlmodels.fit_model(name, own(part("train")), cfg, columns, chosen),
-                own(part("val")), cfg, keep=[cfg.target_col],
-            )
-            full = mlmodels.fit_model(name, own(fit_all), cfg, columns, chosen)
-            models[(cls, name)] = full
-            ahead = mlmodels.predict(full, own(part("test")), cfg, keep=[cfg.target_col])
-            val_parts.append(_with_class(held, cls, name).select(*order))
-            test_parts.append(_with_class(ahead, cls, name).select(*order))
+    # A class without training rows keeps its statistical models.
+    present = {r["class"] for r in part("train").select("class").distinct().collect()}
+
+    def fit_one(cls: str, name: str) -> tuple[mlmodels.Fitted, DataFrame, DataFrame]:
+        own = lambda df: df.filter(F.col("class") == cls)
+        chosen = settings
+        if name in tune:
+            chosen, _ = mlmodels.random_search(name, own(fit_all), cfg, columns, settings)
+        first = mlmodels.fit_model(name, own(part("train")), cfg, columns, chosen, own(part("val")))
+        full = mlmodels.fit_model(name, own(fit_all), cfg, columns, first.refit_settings(chosen))
+        held = mlmodels.predict(first, own(part("val")), cfg, keep=[cfg.target_col])
+        ahead = mlmodels.predict(full, own(part("test")), cfg, keep=[cfg.target_col])
+        return full, _with_class(held, cls, name).select(*order), _with_class(ahead, cls, name).select(*order)
+
+    wanted = [(c, m) for c in cfg.models if c in present for m in cfg.models[c] if m in mlmodels.ML_MODELS]
+    in_session = inheritable_thread_target(feats.sparkSession)
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        # Jobs of small classes leave cores idle, so fits run side by side on one session.
+        jobs = [pool.submit(in_session(fit_one), *pair) for pair in wanted]
+        for pair, job in zip(wanted, jobs):
+            models[pair], held, ahead = job.result()
+            val_parts.append(held)
+            test_parts.append(ahead)
     val = materialise(mlmodels.union_all(val_parts))
     test = materialise(mlmodels.union_all(test_parts))
     weights = materialise(
         forecasters.inverse_metric_weights(
-            evaluate.compute_metrics(val, cfg, ["class", "model"]), cfg.selection_metric
+            evaluate.compute_metrics(val, cfg, ["class", "model"]), cfg.selection_metric, least=2
         ).filter(F.col("class").isin([c for c, m in cfg.models.items() if "ensemble" in m]))
     )
     val, test = _add_ensemble(val, weights, cfg), _add_ensemble(test, weights, cfg)
@@ -152,7 +171,7 @@ def infer(
     )
     for missing in [c for c in trained.feature_columns if c not in ahead.columns]:
         ahead = ahead.withColumn(missing, F.lit(0.0))
-    parts = [_stat_predictions(history, ahead, trained.classes, cfg)]
+    parts = [_stat_predictions(history, ahead, trained.classes, cfg, always=["moving_average"])]
     order = parts[0].columns
     for (cls, name), fitted in trained.models.items():
         rows = ahead.filter(F.col("class") == cls)
@@ -168,3 +187,41 @@ def infer(
     named = bounded.withColumnRenamed("best_model", "model_used")
     return evaluate.join_explainability(named, trained.explainability, cfg)
 
+
+
+_FRAMES = ("features", "classes", "explainability", "val", "test", "metrics", "weights", "best", "test_best")
+_INDEX = (
+    "class string, model string, fitted string, features array<string>, has_model boolean, has_gate boolean, "
+    "constant double, threshold double"
+)
+
+
+def save_trained(trained: Trained, path: str) -> None:
+    """Write a training run to a folder: its frames, fitted pipelines and an index of both."""
+    spark = trained.features.sparkSession
+    for name in _FRAMES:
+        getattr(trained, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    rows = []
+    for (cls, name), fitted in trained.models.items():
+        for part, pipeline in (("model", fitted.model), ("gate", fitted.gate)):
+            if pipeline is not None:
+                pipeline.write().overwrite().save(f"{path}/fitted/{cls}/{name}/{part}")
+        rows.append((cls, name, fitted.name, list(fitted.features), fitted.model is not None,
+                     fitted.gate is not None, fitted.constant, fitted.threshold))
+    spark.createDataFrame(rows, _INDEX).coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+    columns = spark.createDataFrame([(trained.feature_columns,)], "names array<string>")
+    columns.coalesce(1).write.mode("overwrite").parquet(f"{path}/feature_columns")
+
+
+def load_trained(spark: SparkSession, path: str) -> Trained:
+    """Read back what `save_trained` wrote, so that inference runs as a job of its own."""
+    models = {}
+    for r in spark.read.parquet(f"{path}/index").collect():
+        at = f"{path}/fitted/{r['class']}/{r['model']}"
+        models[(r["class"], r["model"])] = mlmodels.Fitted(
+            r["fitted"], tuple(r["features"]), PipelineModel.load(f"{at}/model") if r["has_model"] else None,
+            r["constant"], PipelineModel.load(f"{at}/gate") if r["has_gate"] else None, r["threshold"],
+        )
+    frames = {name: spark.read.parquet(f"{path}/{name}") for name in _FRAMES}
+    names = spark.read.parquet(f"{path}/feature_columns").first()["names"]
+    return Trained(**frames, feature_columns=names, models=models)
