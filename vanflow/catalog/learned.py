@@ -54,7 +54,7 @@ def fit_and_score(name):
 
 
 def _search(s, d):
-    """All trials over the whole search space of both boosted models; a forest's search takes an hour here (README)."""
+    """All trials over the whole search space of both boosted models; a forest's is left out for time (README)."""
     feats = prepared(s, d)[0].filter("split <> 'test'")
     columns = features.feature_columns(feats, CFG)
     rows = []
