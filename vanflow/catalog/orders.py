@@ -99,14 +99,19 @@ def _merged(s, d):
     return shared("merged", s, d, lambda: allocate.merge_and_rank(run(s, d).candidates))
 
 
-def _signal_rows(s, d):
-    """Signals of history picks, one row each, before merging."""
-    picks = run(s, d).candidates.filter("source = 'history'")
-    return rounded(picks.select(*PAIR, F.posexplode("signals").alias("pos", "sg")).select(
-        *PAIR, "pos", F.col("sg.kind").alias("kind"), F.col("sg.detail").alias("detail"),
+def _all_signal_rows(s, d):
+    """Signals of all lanes' picks, one row each, before merging."""
+    picks = run(s, d).candidates
+    return rounded(picks.select(*PAIR, "source", F.posexplode("signals").alias("pos", "sg")).select(
+        *PAIR, "source", "pos", F.col("sg.kind").alias("kind"), F.col("sg.detail").alias("detail"),
         F.col("sg.weight").alias("weight")))
 
 
+def _signal_rows(s, d):
+    """The history lane's part of all signals."""
+    return _all_signal_rows(s, d).filter("source = 'history'").drop("source")
+
+
 QUERIES = {
     "K1_van_items": van,
     "K2_journey_customers": targets,
@@ -135,6 +140,7 @@ QUERIES = {
     "L2_merged_signal_kinds": lambda s, d: _merged(s, d).select(
         *PAIR, F.array_join(F.array_sort(F.transform("signals", lambda x: x.kind)), ",").alias("kinds")),
     "L3_signals": _signal_rows,
+    "L3_signals_all_lanes": _all_signal_rows,
     "L4_signal_weights": lambda s, d: rounded(run(s, d).candidates.select(
         *PAIR, "source", F.size("signals").alias("signals"),
         sg.py_round(F.aggregate("signals", F.lit(0.0), lambda a, x: a + x.weight), 2).alias("total"))),
@@ -244,6 +250,8 @@ ORACLES = {
       FROM sg GROUP BY {so.P}""",
     "L3_signals": _X + f"""SELECT {so.P}, row_number() OVER (PARTITION BY {so.P} ORDER BY pos) - 1 AS pos, kind, detail,
       {sb.rint('weight / tot', 4)} AS weight FROM sgn WHERE source = 'history'""",
+    "L3_signals_all_lanes": _X + f"""SELECT {so.P}, source, row_number() OVER (PARTITION BY {so.P}, source ORDER BY pos) - 1 AS pos,
+      kind, detail, {sb.rint('weight / tot', 4)} AS weight FROM sgn""",
     "L4_signal_weights": _X + f"""SELECT {so.P}, source, COUNT(*) AS signals,
       {sb.rint(f"SUM({sb.rint('weight / tot', 4)})", 2)} AS total FROM sgn GROUP BY {so.P}, source""",
     "L5_explanations": _X + f""", rkd AS (SELECT *, row_number() OVER (PARTITION BY {so.P}, source, item ORDER BY weight DESC, pos) AS rr FROM sgn)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from vanflow.catalog import loop
@@ -40,6 +42,37 @@ def _parsed(s, d):
                       F.size("supervisor_priorities").alias("priorities"))
 
 
+def _all_answers(s, d):
+    """The answers of every layout: each field filled, fenced, only the first field, or no JSON, by day."""
+    base = loop.sessions(s, d).groupBy("session_id", "date").agg(F.max("customer_code").alias("c"))
+    day = F.dayofmonth("date") % 4
+    rows = []
+    for kind, fields in pt.ANSWERS.items():
+        filled = [
+            F.concat(F.lit(f'"{n}": "{n} '), "c", F.lit('"')) if t == "string"
+            else F.concat(F.lit(f'"{n}": ["{n} '), "c", F.lit('", "more"]')) for n, t in fields]
+        body = F.concat(F.lit("{"), F.concat_ws(", ", *filled), F.lit("}"))
+        text = (
+            F.when(day == 0, body)
+            .when(day == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+            .when(day == 2, F.concat(F.lit("{"), filled[0], F.lit("}")))
+            .otherwise("no answer today"))
+        rows.append(base.select("session_id", F.lit(kind).alias("kind"), text.alias("answer")))
+    return rows
+
+
+def _all_parsed(s, d):
+    """Each of the four layouts, parsed; one row per session, kind and field, its items joined."""
+    out = []
+    for rows, (kind, fields) in zip(_all_answers(s, d), pt.ANSWERS.items()):
+        values = [
+            F.struct(F.lit(n).alias("field"), (F.col(n) if t == "string" else F.array_join(n, ";")).alias("value"))
+            for n, t in fields]
+        parsed = pt.parse_answers(rows, "answer", kind)
+        out.append(parsed.select("session_id", "kind", "valid", F.inline(F.array(*values))))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def _scrubbed(s, d):
     known = loop.sessions(s, d).select("route_code", "customer_code")
     return pt.scrub_codes(answers(s, d), known, ["session_id"], "answer")
@@ -55,6 +88,7 @@ QUERIES = {
     "P7_route_prompts": lambda s, d: pt.route_prompts(
         sv.session_summary(sp.scores(s, d)), pt.route_performance(sp.scores(s, d))),
     "P8_parsed_answers": _parsed,
+    "P8_parsed_answers_all_layouts": _all_parsed,
     "P9_scrubbed_codes": _scrubbed,
 }
 
@@ -83,6 +117,9 @@ an1 AS (SELECT *, '{{"route_summary": "Customer-' || c || ' led, Customer-999999
 an AS (SELECT session_id, route_code, c, n, day(date) % 4 AS k, CASE day(date) % 4 WHEN 0 THEN body
     WHEN 1 THEN '```json' || {_NL} || body || {_NL} || '```' WHEN 2 THEN '{{"route_summary": "quiet day"}}' ELSE 'no answer today' END AS answer FROM an1)"""
 
+_LAYOUTS = ", ".join(
+    f"('{kind}', {i}, '{name}', {str(t == 'string').lower()})" for kind, fields in pt.ANSWERS.items() for i, (name, t) in enumerate(fields))
+
 ORACLES = {
     "P1_customer_history": sb.with_(*sb.TO_RECS, _RN, """tp AS (SELECT *, row_number() OVER (PARTITION BY TrxDate, RouteCode, CustomerCode
       ORDER BY PriorityScore DESC, ItemCode) AS rk FROM rn)""") + f"""SELECT TrxDate, RouteCode, CustomerCode,
@@ -128,6 +165,9 @@ ORACLES = {
     "P8_parsed_answers": sb.with_(*sb.TO_SESS, _ANS) + """SELECT session_id, k <> 3 AS valid, CASE WHEN k IN (0, 1) THEN 'Customer-' || c
       || ' led, Customer-999999 lagged' WHEN k = 2 THEN 'quiet day' ELSE '' END AS route_summary,
       CASE WHEN k IN (0, 1) THEN n || ' lines' ELSE '' END AS critical_issues, 0 AS priorities FROM an""",
+    "P8_parsed_answers_all_layouts": sb.with_(*sb.TO_SESS, _ANS) + f"""SELECT session_id, kind, k <> 3 AS valid, field,
+      CASE WHEN k IN (0, 1) OR k = 2 AND i = 0 THEN field || ' ' || c || CASE WHEN plain THEN '' ELSE ';more' END ELSE '' END AS value
+      FROM an CROSS JOIN (VALUES {_LAYOUTS}) AS layouts(kind, i, field, plain)""",
     "P9_scrubbed_codes": sb.with_(*sb.TO_SESS, _ANS) + """SELECT session_id, replace(replace(answer, 'Customer-999999', '[customer]'),
       'Customer-' || c, c) AS answer FROM an""",
 }
