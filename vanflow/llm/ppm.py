@@ -22,11 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vanflow.llm.base import keyed, map_rows, type_of
-from vanflow.session import ship_package
+from vanflow.session import materialise, ship_package, small_side
 
 ORDER = 3
-SAMPLE_PER_LANGUAGE = 1500  # labelled documents that train a language's tree, by hash of the identifier
-MAX_LANGUAGES = 256
+SAMPLE_PER_LANGUAGE = 1500  # labelled documents that train a language's tree, by hash of identifier and text
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -161,17 +160,15 @@ class Model:
 def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Trees from at most about `per_language` labelled documents of each language, whole texts.
 
-    `labelled` has doc_id, text and lang. Sampling is by hash of the
-    identifier, so it does not depend on partitioning. What reaches the driver
+    `labelled` has doc_id, text and lang; every labelled language is learned.
+    Sampling is by hash of identifier and text, so it does not depend on
+    partitioning and rows without an identifier are sampled too. What reaches the driver
     is the distinct windows of that bounded sample.
     """
     named = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return Model([], np.zeros(0, np.uint32), np.zeros((0, 0), np.float32), []).ready()
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1_000_000
-    sample = named.where(chance < share[F.col("lang")]).select("lang", "text")
+    sizes = small_side(materialise(named.groupBy("lang").agg(F.count("*").alias("_rows")), "languages"))
+    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.lit(1_000_000)) / 1_000_000
+    sample = named.join(sizes, "lang").where(chance < F.lit(per_language) / F.col("_rows")).select("lang", "text")
 
     def count(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for batch in batches:
