@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vanflow.llm import covering, katz, packing, pii, ppm, secrets, spaced_seeds, substrings, trie_dedup, warc
+from vanflow.llm import (
+    covering, katz, packing, pii, ppm, repair, secrets, spaced_seeds, spelling, substrings, token_counts, trie_dedup, warc,
+)
 from vanflow.llm.base import crc_class, read
 
 
@@ -54,12 +56,24 @@ def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(read(spark, sf_dir, "documents"), crc_class("doc_id", 7) != 2)
 
 
+def op11_trie_frontier_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op12_batched_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii_anchor_expansion, op2_secret_blob_ledger, op3_vector_bin_packing, op4_spaced_seed_decontamination,
         op5_patricia_exact_dedup, op6_warc_sharded_writer, op7_covering_simhash, op8_ppm_language, op9_seed_extend_substrings,
-        op10_katz_backoff,
+        op10_katz_backoff, op11_trie_frontier_spelling, op12_batched_token_counts, op13_conversation_repair,
     )
 }
 ORACLES: dict[str, str] = {}
