@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vanflow.catalog import demand as dm
 from vanflow.catalog.helpers import rounded, shared
-from vanflow.operators import features, mlmodels
+from vanflow.operators import features, mlmodels, trees
 from vanflow.plans import train as tr
 from vanflow.session import new_folder
 
@@ -55,14 +55,12 @@ def fit_and_score(name):
 
 
 def _search(s, d):
-    """All trials over the whole search space of every tunable model."""
-    feats = prepared(s, d)[0].filter("split <> 'test'")
-    columns = features.feature_columns(feats, CFG)
-    rows = []
-    for name in TUNED:
-        _, results = mlmodels.random_search(name, feats, CFG, columns, FULL)
-        rows += [(r["model"], r["trial"], float(r["score"]), str(sorted(r["params"].items()))) for r in results]
-    return s.createDataFrame(rows, "model string, trial int, score double, params string")
+    """All trials over the whole search space of every tunable model, all classes together."""
+    feats = prepared(s, d)[0].filter("split <> 'test'").withColumn("group", F.lit("all"))
+    bins = trees.binning(feats, features.feature_columns(feats.drop("group"), CFG))
+    _, results = mlmodels.random_search([("all", name) for name in TUNED], feats, CFG, bins, FULL)
+    rows = [(r["model"], r["trial"], float(r["score"]), r["rounds"], str(sorted(r["params"].items()))) for r in results]
+    return s.createDataFrame(rows, "model string, trial int, score double, rounds int, params string")
 
 
 def _inference(s, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vanflow.config import DemandConfig
-from vanflow.operators import classify, evaluate, features, forecasters, mlmodels, panel
+from vanflow.operators import classify, evaluate, features, forecasters, mlmodels, panel, trees
 from vanflow.session import cut_lineage
 
 FITS_AT_ONCE = 4
@@ -89,9 +90,9 @@ def train(
 ) -> Trained:
     """Fit every enabled model per class, score validation and test, select per pair.
 
-    Selection uses validation scores, and so do the ensemble weights. The loop
-    is over four classes and their models; every fit and every scoring is a
-    distributed job over all pairs of the class.
+    Selection uses validation scores, and so do the ensemble weights. Searches
+    and tree models of all classes are fitted side by side, one a task; linear
+    models and gates are distributed jobs over all rows of the class.
     """
     feats, classes, stats, treated = prepare_features(raw, cfg, calendar, materialise)
     columns = features.feature_columns(feats, cfg)
@@ -104,26 +105,44 @@ def train(
     # A class without training rows keeps its statistical models.
     present = {r["class"] for r in part("train").select("class").distinct().collect()}
 
-    def fit_one(cls: str, name: str) -> tuple[mlmodels.Fitted, DataFrame, DataFrame]:
+    wanted = [(c, m) for c in cfg.models if c in present for m in cfg.models[c] if m in mlmodels.ML_MODELS]
+    regressor = settings.of("two_stage")["regressor"]
+    # The positive rows of a class are a group of their own, for the two-stage model's regressor.
+    sold = F.col(cfg.target_col) > 0
+    grouped = feats.withColumn("group", F.explode(F.when(sold, F.array("class", F.concat("class", F.lit("+")))).otherwise(F.array("class"))))
+    bins = trees.binning(part("train"), columns)
+    searched = [(c, m) for c, m in wanted if m in tune]
+    chosen = {(c, m): settings for c, m in wanted}
+    if searched:
+        found, _ = mlmodels.random_search(searched, grouped.filter("split <> 'test'"), cfg, bins, settings)
+        chosen |= found
+    fits = {(c, m): chosen[c, m] for c, m in wanted if m in mlmodels.TREES}
+    fits |= {(f"{c}+", regressor): chosen.get((c, regressor), settings) for c, m in wanted if m == "two_stage"}
+    held = grouped.filter("split <> 'test'").withColumn("held", F.col("split") == "val")
+    first = mlmodels.fit_trees(mlmodels.tree_rows(held, cfg, bins), bins, fits, cfg)
+    # A fit on more rows takes as many rounds as were best here.
+    rounds = {pair: max(1, f.rounds) for pair, f in first.items() if pair[1] in mlmodels.BOOSTED}
+    full = mlmodels.fit_trees(mlmodels.tree_rows(held.withColumn("held", F.lit(False)), cfg, bins), bins, fits, cfg, rounds)
+
+    def fit_rest(cls: str, name: str) -> tuple[mlmodels.Fitted, mlmodels.Fitted]:
         own = lambda df: df.filter(F.col("class") == cls)
-        chosen = settings
-        if name in tune:
-            chosen, _ = mlmodels.random_search(name, own(fit_all), cfg, columns, settings)
-        first = mlmodels.fit_model(name, own(part("train")), cfg, columns, chosen, own(part("val")))
-        full = mlmodels.fit_model(name, own(fit_all), cfg, columns, first.refit_settings(chosen))
-        held = mlmodels.predict(first, own(part("val")), cfg, keep=[cfg.target_col])
-        ahead = mlmodels.predict(full, own(part("test")), cfg, keep=[cfg.target_col])
-        return full, _with_class(held, cls, name).select(*order), _with_class(ahead, cls, name).select(*order)
+        if name == "linear":
+            return tuple(mlmodels.fit_linear(own(df), cfg, columns, settings) for df in (part("train"), fit_all))
+        return tuple(
+            mlmodels.two_stage(mlmodels.fit_gate(own(df), cfg, columns), fitted.get((f"{cls}+", regressor)), columns, cfg)
+            for df, fitted in ((part("train"), first), (fit_all, full))
+        )
 
-    wanted = [(c, m) for c in cfg.models if c in present for m in cfg.models[c] if m in mlmodels.ML_MODELS]
     in_session = inheritable_thread_target(feats.sparkSession)
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
         # Jobs of small classes leave cores idle, so fits run side by side on one session.
-        jobs = [pool.submit(in_session(fit_one), *pair) for pair in wanted]
-        for pair, job in zip(wanted, jobs):
-            models[pair], held, ahead = job.result()
-            val_parts.append(held)
-            test_parts.append(ahead)
+        rest = {pair: pool.submit(in_session(fit_rest), *pair) for pair in wanted if pair[1] not in mlmodels.TREES}
+    for cls, name in wanted:
+        pair = (cls, name)
+        before, models[pair] = rest[pair].result() if pair in rest else (first[pair], full[pair])
+        for fitted, split, parts in ((before, "val", val_parts), (models[pair], "test", test_parts)):
+            scored = mlmodels.predict(fitted, part(split).filter(F.col("class") == cls), cfg, keep=[cfg.target_col])
+            parts.append(_with_class(scored, cls, name).select(*order))
     val = materialise(mlmodels.union_all(val_parts))
     test = materialise(mlmodels.union_all(test_parts))
     weights = materialise(
@@ -191,23 +210,25 @@ def infer(
 
 _FRAMES = ("features", "classes", "explainability", "val", "test", "metrics", "weights", "best", "test_best")
 _INDEX = (
-    "class string, model string, fitted string, features array<string>, has_model boolean, has_gate boolean, "
-    "constant double, threshold double"
+    "class string, model string, fitted string, features array<string>, trees binary, has_model boolean, has_gate boolean, "
+    "constant double, threshold double, rounds int"
 )
 
 
 def save_trained(trained: Trained, path: str) -> None:
-    """Write a training run to a folder: its frames, fitted pipelines and an index of both."""
+    """Write a training run to a folder: its frames, fitted pipelines and an index of both that holds the trees."""
     spark = trained.features.sparkSession
     for name in _FRAMES:
         getattr(trained, name).write.mode("overwrite").parquet(f"{path}/{name}")
     rows = []
     for (cls, name), fitted in trained.models.items():
-        for part, pipeline in (("model", fitted.model), ("gate", fitted.gate)):
-            if pipeline is not None:
-                pipeline.write().overwrite().save(f"{path}/fitted/{cls}/{name}/{part}")
-        rows.append((cls, name, fitted.name, list(fitted.features), fitted.model is not None,
-                     fitted.gate is not None, fitted.constant, fitted.threshold))
+        grown = pickle.dumps((fitted.model, fitted.bins)) if isinstance(fitted.model, trees.Trees) else None
+        pipeline = None if grown else fitted.model
+        for part, stored in (("model", pipeline), ("gate", fitted.gate)):
+            if stored is not None:
+                stored.write().overwrite().save(f"{path}/fitted/{cls}/{name}/{part}")
+        rows.append((cls, name, fitted.name, list(fitted.features), grown, pipeline is not None, fitted.gate is not None,
+                     fitted.constant, fitted.threshold, fitted.rounds))
     spark.createDataFrame(rows, _INDEX).coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
     columns = spark.createDataFrame([(trained.feature_columns,)], "names array<string>")
     columns.coalesce(1).write.mode("overwrite").parquet(f"{path}/feature_columns")
@@ -218,9 +239,12 @@ def load_trained(spark: SparkSession, path: str) -> Trained:
     models = {}
     for r in spark.read.parquet(f"{path}/index").collect():
         at = f"{path}/fitted/{r['class']}/{r['model']}"
+        model, bins = pickle.loads(r["trees"]) if r["trees"] else (None, None)
+        if r["has_model"]:
+            model = PipelineModel.load(f"{at}/model")
         models[(r["class"], r["model"])] = mlmodels.Fitted(
-            r["fitted"], tuple(r["features"]), PipelineModel.load(f"{at}/model") if r["has_model"] else None,
-            r["constant"], PipelineModel.load(f"{at}/gate") if r["has_gate"] else None, r["threshold"],
+            r["fitted"], tuple(r["features"]), model, r["constant"],
+            PipelineModel.load(f"{at}/gate") if r["has_gate"] else None, r["threshold"], bins, r["rounds"],
         )
     frames = {name: spark.read.parquet(f"{path}/{name}") for name in _FRAMES}
     names = spark.read.parquet(f"{path}/feature_columns").first()["names"]
