@@ -81,7 +81,7 @@ fcst AS (SELECT trx_date AS TrxDate, route_code AS RouteCode, item_code AS ItemC
 RECS = f"""rp AS (SELECT RouteCode, CustomerCode, CustomerName, ItemCode, SUM(TotalQuantity) AS q,
     COUNT(*) AS n, MAX(TrxDate) AS last_buy,
     CAST(CustomerCode AS INT) AS k, CAST(regexp_extract(ItemCode, '(\\d+)$', 1) AS INT) AS b
-  FROM hist WHERE TrxDate >= {TARGET} - 365 GROUP BY ALL),
+  FROM hist GROUP BY ALL),
 plan AS ({journey('2001-07-02', 28)[len('journey AS ('):]},
 r0 AS (SELECT p.JourneyDate AS TrxDate, rp.*, ((k * 37 + b * 11 + CAST(n AS INT) * 13) % 9000) / 100.0::DOUBLE + 10.0::DOUBLE AS PriorityScore,
     greatest(1, CAST(floor(q / n) AS INT)) AS RecommendedQuantity

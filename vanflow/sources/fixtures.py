@@ -178,11 +178,10 @@ def demand_forecast(spark, sf) -> DataFrame:
 
 
 def stored_recommendations(spark: SparkSession, sf: str) -> DataFrame:
-    """Recommendation rows of 28 days: planned customers times items they bought lately."""
+    """Recommendation rows of the PLAN_DAYS days from the run's date on: planned customers times all items they bought before."""
     day = F.lit(TARGET).cast("date")
     pairs = (
         history(spark, sf)
-        .filter(F.col("TrxDate") >= F.date_sub(day, 365))
         .groupBy("RouteCode", "CustomerCode", "CustomerName", "ItemCode")
         .agg(
             F.sum("TotalQuantity").alias("q"),
