@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,10 +39,29 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[dict[str, list]]], Iterator
         for out in work(columns()):
             if len(out[schema.names[0]]):
                 yield pa.RecordBatch.from_pydict({n: out[n] for n in schema.names}, schema=schema)
+        out = None
+        release()
 
     return df.mapInArrow(run, struct)
 
 
+def release() -> None:
+    """Give a finished task's memory back: workers outlive their tasks, and the next ones share the executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns an operator reads, under fixed names."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

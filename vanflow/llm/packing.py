@@ -30,11 +30,11 @@ END_ID = 1
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 256
 POOL = 512  # pieces that wait at a time
-CACHE = 1_000_000  # distinct words whose ids a worker keeps
+CACHE = 200_000  # distinct words whose ids a worker keeps for sure, and twice as many at most
 GROUP = 2000  # texts encoded at a time
 
 _STOPS = frozenset(".,")
-_LOADED: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
+_LOADED: dict[str, tuple[Tokenizer, dict[str, bytes], dict[str, bytes]]] = {}  # words of late and those before
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -47,8 +47,8 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     except in texts that may hold a special token's name.
     """
     if path not in _LOADED:
-        _LOADED[path] = (Tokenizer.from_file(path), {})
-    tokenizer, cache = _LOADED[path]
+        _LOADED[path] = (Tokenizer.from_file(path), {}, {})
+    tokenizer, cache, before = _LOADED[path]
     split = []
     for text in texts:
         if "<|" not in text:
@@ -56,8 +56,13 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
     words = set().union(*split)
     if len(cache) + len(words) > CACHE:
-        cache.clear()
+        # Words not seen since the last turn are forgotten.
+        before, cache = cache, {}
+        _LOADED[path] = (tokenizer, cache, before)
     missing = words.difference(cache)
+    for word in missing.intersection(before):
+        cache[word] = before[word]
+    missing.difference_update(cache)
     ended = {w for w in missing if w[-1:] in _STOPS and w[-2:-1].isascii() and w[-2:-1].isalpha() and "<|" not in w}
     bodies = list(((missing - ended) | {w[:-1] for w in ended} | _STOPS).difference(cache))
     for i in range(0, len(bodies), 20_000):

@@ -11,7 +11,6 @@ training saw are tabled once, others are worked out on first sight.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vanflow.llm.base import keyed, map_rows, type_of
+from vanflow.llm.base import keyed, map_rows, release, type_of
 from vanflow.session import materialise, ship_package, small_side
 
 ORDER = 3
 SAMPLE_PER_LANGUAGE = 1500  # labelled documents that train a language's tree, by hash of identifier and text
 UNKNOWN = "und"
+SEEN = 50_000  # windows that training lacked whose costs a task keeps
 
-_LETTER = re.compile(r"[^\W\d_]")
 # Letters are lower-cased, other ASCII becomes a blank; bytes above 127 stay.
 _FOLD = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 _PIECE = 1 << 20
@@ -127,7 +126,7 @@ class Model:
         if gram not in self.seen:
             if self.built is None:
                 self.built = [ContextTree(*t) for t in self.trees]
-            if len(self.seen) > 500_000:
+            if len(self.seen) > SEEN:
                 self.seen.clear()
             self.seen[gram] = [t.cost(gram) for t in self.built]
         return self.seen[gram]
@@ -194,7 +193,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
 
 def answers(model: Model, texts: list[str | None]) -> list[tuple[str, float, float]]:
     """(language, score, bits per byte) of each text."""
-    lettered = [bool(model.languages and t and _LETTER.search(t)) for t in texts]
+    lettered = [bool(model.languages and t and any(map(str.isalpha, t))) for t in texts]
     bodies = [fold(t) if ok else b"" for t, ok in zip(texts, lettered)]
     out = []
     for ok, body, row in zip(lettered, bodies, model.bits(bodies)):
@@ -241,5 +240,7 @@ def keep_identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
             keep = [lang != UNKNOWN and rate < worst_bits for lang, _, rate in answers(known, texts)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        known = None
+        release()
 
     return docs.mapInArrow(work, docs.schema)

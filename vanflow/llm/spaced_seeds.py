@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vanflow.llm.base import keyed
+from vanflow.llm.base import keyed, unused
 from vanflow.session import materialise, small_side
 
 # Words under a 1 are hashed, those under a 0 ignored.
@@ -76,6 +76,6 @@ def contaminated_pairs(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents, all columns, without those that hold a benchmark passage."""
-    pairs = contaminated_pairs(docs, benchmark, id_col, **options)
-    found = materialise(pairs.select(F.col(id_col).alias("_held")).distinct(), "held")
-    return docs.join(small_side(found), docs[id_col].eqNullSafe(F.col("_held")), "left_anti")
+    pairs, held = contaminated_pairs(docs, benchmark, id_col, **options), unused(docs, "_held")
+    found = materialise(pairs.select(F.col(id_col).alias(held)).distinct(), "held")
+    return docs.join(small_side(found), docs[id_col].eqNullSafe(F.col(held)), "left_anti")

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from vanflow.llm.base import keyed, map_rows, type_of
 from vanflow.session import materialise
 
-TRIE_BYTES = 48 << 20  # text bytes a task's trie holds before a subtree is spilled
+TRIE_BYTES = 48 << 20  # bytes a task's trie holds before a subtree is spilled
+NODE_BYTES = 500  # what a node takes besides its label: objects, children, value
 
 # The letters that are folded before texts are compared.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,7 +53,7 @@ class Patricia:
     """A compressed radix trie over byte strings, with a value at each terminal."""
 
     def __init__(self):
-        self.root, self.bytes = Node(b""), 0
+        self.root, self.bytes = Node(b""), NODE_BYTES
 
     def terminal(self, key: bytes) -> Node:
         """The node of a whole string, made where it is missing."""
@@ -61,7 +62,7 @@ class Patricia:
             child = node.children.get(key[at])
             if child is None:
                 child = node.children[key[at]] = Node(key[at:])
-                self.bytes += len(key) - at
+                self.bytes += len(key) - at + NODE_BYTES
                 return child
             if key.startswith(child.label, at):
                 node, at = child, at + len(child.label)
@@ -71,6 +72,7 @@ class Patricia:
             child.label = child.label[shared:]
             upper.children[child.label[0]] = child
             node.children[key[at]] = upper
+            self.bytes += NODE_BYTES
             node, at = upper, at + shared
         return node
 
@@ -98,7 +100,7 @@ class Patricia:
         total, stack = 0, [node]
         while stack:
             here = stack.pop()
-            total += len(here.label)
+            total += len(here.label) + NODE_BYTES
             stack.extend(here.children.values())
         return total
 
@@ -194,9 +196,11 @@ def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 batch["length"], batch["text_sha256"], batch["body"], batch["node"], batch["owner"], batch["owner_row"], batch["copies"]
             ):
                 if bucket != (length, sha):
-                    if nodes:
+                    # Equal strings share a bucket, so between two the whole trie of the partition may go.
+                    if trie.bytes > trie_bytes // 4 or len(nodes) >= 5000:
                         yield answers()
-                    bucket, trie, nodes = (length, sha), Patricia(), []
+                        trie, nodes = Patricia(), []
+                    bucket = (length, sha)
                 terminal = trie.terminal(body)
                 if terminal.value is None:
                     terminal.value = ((owner, owner_row), copies)
@@ -210,7 +214,7 @@ def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     strings = local.where(F.col("body").isNotNull()).withColumn("length", F.octet_length("body"))
     dealt = strings.repartition("length", "text_sha256").sortWithinPartitions("length", "text_sha256")
     owners = map_rows(
-        dealt.select("length", "text_sha256", "body", "node", "owner", "owner_row", "copies"), _batched(merge),
+        dealt.select("length", "text_sha256", "body", "node", "owner", "owner_row", "copies"), merge,
         f"node long, keep_id {id_type}, keep_row long, group_size long",
     )
     rows = local.where(F.col("row").isNotNull()).select("doc_id", "row", "node", "text_sha256")
@@ -218,19 +222,3 @@ def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("doc_id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "row"
     )
 
-
-def _batched(merge, rows: int = 5000):
-    """Join the small answers of single buckets to larger batches."""
-
-    def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        out: dict[str, list] = {}
-        for part in merge(batches):
-            for name, values in part.items():
-                out.setdefault(name, []).extend(values)
-            if len(out["node"]) >= rows:
-                yield out
-                out = {}
-        if out:
-            yield out
-
-    return work

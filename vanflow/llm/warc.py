@@ -27,6 +27,7 @@ from vanflow.session import materialise, new_folder
 
 SHARD_BYTES = 32 << 20  # payload bytes a shard holds at least, one record at the least
 ROLL_BYTES = 16 << 20  # compressed bytes after which a file is closed
+SLICE = 4096  # compressed bytes read at a time
 MIN_REVISIT = 100  # payload bytes below which equal payloads are stored each
 DATE = "2024-01-01T00:00:00Z"
 
@@ -65,11 +66,18 @@ def record(page, url: str | None, payload: bytes, digest: str, copy: int, origin
 
 
 def records_in(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each gzip member, with digests checked."""
-    while archive:
-        member = zlib.decompressobj(31)
-        whole = member.decompress(archive) + member.flush()
-        archive = member.unused_data
+    """Headers and block of each gzip member, with digests checked; bytes are read once, in slices."""
+    view, at = memoryview(archive), 0
+    while at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            piece = view[at : at + SLICE]
+            if not piece:
+                raise ValueError("archive ends within a record")
+            parts.append(member.decompress(piece))
+            at += len(piece)
+        at -= len(member.unused_data)
+        whole = b"".join(parts)
         head, _, rest = whole.partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
         block = rest[: int(headers["Content-Length"])]
@@ -201,6 +209,7 @@ def read_archives(spark, target: str, id_type: str = "long", payloads: bool = Tr
             for name, content, size in zip(batch["file"], batch["content"], batch["bytes"]):
                 if len(content) != size:
                     raise ValueError(f"{name} differs from its manifest")
+                held = 0
                 out: dict[str, list] = {n: [] for n in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to")}
                 for headers, block in records_in(content):
                     head, _, payload = block.partition(b"\r\n\r\n")
@@ -216,9 +225,10 @@ def read_archives(spark, target: str, id_type: str = "long", payloads: bool = Tr
                     out["payload_digest"].append(digest)
                     out["record_type"].append(kind)
                     out["refers_to"].append(None if other is None else whole(other))
-                    if sum(map(len, filter(None, out["payload"][-200:]))) > 8 << 20 or len(out["page_id"]) >= 2000:
+                    held += len(payload) if payloads else 0
+                    if held > 8 << 20 or len(out["page_id"]) >= 2000:
                         yield out
-                        out = {n: [] for n in out}
+                        out, held = {n: [] for n in out}, 0
                 yield out
 
     return map_rows(
