@@ -17,15 +17,15 @@ def tokenizer():
 def edge_texts():
     word = "Straße café café ΣΣ don't it's 'S 12 ½ <|endoftext|> a<|startoftext|>b ́x 中文"
     return [None, "", " ", "\n\t", word, word * 3000, "x" * 60_000, "a ́b " * 9000, "a b c" * 9000, ("word " * 5000 + "́") * 4,
-            "7 " * 40_000, "<|endoftext|> " * 5000, "a 's b 't " * 6000]
+            "7 " * 40_000, "<|endoftext|> " * 5000, "a 's b 't " * 6000, "End. end, END., I. İ. x's. 's, '. ,. 4. é, ,", "A\u0301 \u0301. b\u00a0c\u3000d\x0be\x0cf\x85g"]
 
 
-@pytest.mark.parametrize("piece", [7, 500, 16_384])
-def test_pieces_add_up(tokenizer, piece):
-    for text in edge_texts():
-        text = text or ""
-        want = len(tokenizer.encode(text, add_special_tokens=False))
-        assert token_counts.count_tokens(tokenizer, iter([text]), piece, 10_000) == [want]
+@pytest.mark.parametrize("batch", [7, 500, 1 << 20])
+@pytest.mark.parametrize("known", [3, 100_000])
+def test_parts_add_up(tokenizer, batch, known):
+    texts = [t or "" for t in edge_texts()]
+    want = [len(tokenizer.encode(t, add_special_tokens=False)) for t in texts]
+    assert token_counts.Counter(tokenizer, batch, known).count(iter(texts)) == want
 
 
 def test_whole_table(spark, tokenizer):

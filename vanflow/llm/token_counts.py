@@ -1,17 +1,16 @@
 """Token counts: texts are encoded in batches inside Arrow functions and only lengths come back.
 
-Batches handed to the tokenizer are balanced by bytes, not by rows. A long text
-is cut into pieces at safe boundaries, blanks between two ASCII letters or
-digits: the vocabulary's normaliser composes and lower-cases character by
-character and turns blanks into one, its pre-tokeniser ends every word there,
-and no special token's name holds a blank. So the pieces' counts add up to the
-text's. A text without such a boundary stays whole.
+Batches are balanced by bytes, not by rows, and a long text is cut: texts are
+split at ASCII blanks, which is safe for this vocabulary (its normaliser works
+character by character and composes nothing with a blank, its pre-tokeniser
+ends every word there, no special token's name holds one), so the counts of the
+parts add up. A part that a batch repeats is encoded once, and so is a word
+with and without a final stop or comma; lengths of the words of late are kept.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -27,48 +26,71 @@ from vanflow.session import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 2048
-PIECE_CHARS = 16_384  # characters after which a text is cut at the next safe boundary
-BATCH_BYTES = 1 << 20  # text bytes encoded at a time
-
-_SAFE = re.compile(r"(?<=[A-Za-z0-9])[ \t\n\r]+(?=[A-Za-z0-9])")
-
-
-def pieces(text: str, piece_chars: int = PIECE_CHARS) -> Iterator[str]:
-    """Parts of a text of about `piece_chars` characters whose token counts add up to the whole's."""
-    at = 0
-    while len(text) - at > piece_chars:
-        gap = _SAFE.search(text, at + piece_chars)
-        if not gap:
-            break
-        yield text[at : gap.start()]
-        at = gap.end()
-    yield text[at:]
-
-
-def count_tokens(tokenizer: Tokenizer, texts: Iterator[str], piece_chars: int = PIECE_CHARS, batch_bytes: int = BATCH_BYTES) -> list[int]:
-    """Tokens of each text."""
-    counts: list[int] = []
-    waiting: list[str] = []
-    owners: list[int] = []
-    held = 0
-
-    def encode() -> None:
-        nonlocal waiting, owners, held
-        for owner, encoded in zip(owners, tokenizer.encode_batch_fast(waiting, add_special_tokens=False)):
-            counts[owner] += len(encoded)
-        waiting, owners, held = [], [], 0
-
-    for i, text in enumerate(texts):
-        counts.append(0)
-        for piece in pieces(text, piece_chars):
-            waiting.append(piece)
-            owners.append(i)
-            held += len(piece)
-            if held >= batch_bytes:
-                encode()
-    if waiting:
-        encode()
-    return counts
+BATCH_CHARS = 1 << 20  # characters of text encoded at a time
+KNOWN = 200_000  # words whose lengths a task keeps for sure, and twice as many at most
+
+_STOPS = frozenset(".,")
+
+
+class Counter:
+    """Token counts of texts; remembers the lengths of the words it met last."""
+
+    def __init__(self, tokenizer: Tokenizer, batch_chars: int = BATCH_CHARS, known: int = KNOWN):
+        self.tokenizer, self.batch_chars, self.most = tokenizer, batch_chars, known
+        self.lengths: dict[str, int] = {}
+        self.before: dict[str, int] = {}
+
+    def count(self, texts: Iterator[str]) -> list[int]:
+        """Tokens of each text."""
+        counts, parts, owners, held = [], [], [], 0
+        for i, text in enumerate(texts):
+            counts.append(0)
+            for part in self._cut(text):
+                parts.append(part)
+                owners.append(i)
+                held += len(part)
+                if held >= self.batch_chars:
+                    self._add(parts, owners, counts)
+                    parts, owners, held = [], [], 0
+        self._add(parts, owners, counts)
+        return counts
+
+    def _cut(self, text: str) -> Iterator[str]:
+        """Parts of about the size of a batch, cut at blanks; a longer word stays whole."""
+        if "<|" not in text:  # a special token's name counts by its letters' case
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        at = 0
+        while len(text) - at > self.batch_chars:
+            gap = text.find(" ", at + self.batch_chars)
+            if gap < 0:
+                break
+            yield text[at:gap]
+            at = gap + 1
+        yield text[at:]
+
+    def _add(self, parts: list[str], owners: list[int], counts: list[int]) -> None:
+        split = [part.split(" ") for part in parts]
+        self._learn(set().union(*split))
+        length = self.lengths.__getitem__
+        for owner, words in zip(owners, split):
+            counts[owner] += sum(map(length, words))
+
+    def _learn(self, words: set[str]) -> None:
+        missing = words.difference(self.lengths)
+        if len(self.lengths) + len(missing) > self.most:
+            self.before, self.lengths, missing = self.lengths, {}, words
+        for word in missing.intersection(self.before):
+            self.lengths[word] = self.before[word]
+        missing = missing.difference(self.lengths)
+        # A letter before a final stop or comma ends a word of its own.
+        ended = {w for w in missing if w[-1:] in _STOPS and w[-2:-1].isascii() and w[-2:-1].isalpha() and "<|" not in w}
+        bodies = list(((missing - ended) | {w[:-1] for w in ended}).difference(self.lengths))
+        for low in range(0, len(bodies), 20_000):
+            part = bodies[low : low + 20_000]
+            self.lengths.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        for word in ended:
+            self.lengths[word] = self.lengths[word[:-1]] + 1
 
 
 def token_counts(
@@ -88,10 +110,10 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
-        known = Tokenizer.from_file(path)
+        counter = Counter(Tokenizer.from_file(path))
         for batch in batches:
             body = pc.fill_null(batch.column(1), "")
-            counts = pa.array(count_tokens(known, (t.as_py() for t in body)), pa.int64())
+            counts = pa.array(counter.count(body.to_pylist()), pa.int64())
             size = pc.cast(pc.binary_length(body), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, counts, pc.greater(counts, max_tokens)], schema=schema)
 
