@@ -30,7 +30,7 @@ END_ID = 1
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 256
 POOL = 512  # pieces that wait at a time
-CACHE = 200_000  # distinct words whose ids a worker keeps for sure, and twice as many at most
+CACHE = 400_000  # distinct words whose ids a worker keeps for sure, and twice as many at most
 GROUP = 2000  # texts encoded at a time
 
 _STOPS = frozenset(".,")
@@ -55,14 +55,14 @@ def encode(texts: list[str], path: str) -> list[bytes]:
             text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
     words = set().union(*split)
-    if len(cache) + len(words) > CACHE:
+    missing = words.difference(cache)
+    if len(cache) + len(missing) > CACHE:
         # Words not seen since the last turn are forgotten.
-        before, cache = cache, {}
+        before, cache, missing = cache, {}, words
         _LOADED[path] = (tokenizer, cache, before)
-    missing = words.difference(cache)
     for word in missing.intersection(before):
         cache[word] = before[word]
-    missing.difference_update(cache)
+    missing = missing.difference(cache)
     ended = {w for w in missing if w[-1:] in _STOPS and w[-2:-1].isascii() and w[-2:-1].isalpha() and "<|" not in w}
     bodies = list(((missing - ended) | {w[:-1] for w in ended} | _STOPS).difference(cache))
     for i in range(0, len(bodies), 20_000):
