@@ -100,3 +100,13 @@ def test_sweep_ensembles_and_inference_run_to_the_end(spark):
     ahead = learned.QUERIES["F15_inference"](spark, SF)
     assert ahead.filter("prediction < 0").isEmpty() and ahead.groupBy(*keys).count().filter("count > 1").isEmpty()
     assert ahead.select("RouteCode", "ItemCode").distinct().count() == run.classes.count()
+    assert {c for c, _ in run.bounds} == {c for c, _ in run.models} and len(run.bounds) == 2 * len({c for c, _ in run.bounds})
+    for frame in (run.test_best, ahead):
+        assert frame.count() > 0 and frame.filter("NOT (0 <= q_10 AND q_10 <= prediction AND prediction <= q_90)").isEmpty()
+    assert not ahead.filter("q_10 < q_90").isEmpty()
+
+
+def test_quantile_bounds_cover_the_test_rows(spark):
+    shares = learned.QUERIES["E12_quantile_coverage"](spark, "/root/testdata/sf0.01").collect()
+    total = sum(r.rows for r in shares)
+    assert total > 500 and abs(sum(r.inside * r.rows for r in shares) / total - 0.8) < 0.03

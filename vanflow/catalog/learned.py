@@ -54,6 +54,30 @@ def fit_and_score(name):
     return run
 
 
+def _quantile_models(s, d):
+    """Quantile models of every class, rounds chosen on the validation rows, fitted on all rows before the test; bounds of the test rows."""
+    feats = prepared(s, d)[0]
+    columns = features.feature_columns(feats, CFG)
+    before = feats.filter("split <> 'test'").withColumns({"group": F.col("class"), "held": F.col("split") == "val"})
+    bins = trees.binning(before, columns)
+    names = [r["class"] for r in before.select("class").distinct().collect()]
+    wanted = {(c, mlmodels.quantile_name(q)): FULL for c in names for q in CFG.interval_quantiles}
+    first = mlmodels.fit_trees(mlmodels.tree_rows(before, CFG, bins), bins, wanted, CFG)
+    rows = mlmodels.tree_rows(before.withColumn("held", F.lit(False)), CFG, bins)
+    bounds = mlmodels.fit_trees(rows, bins, wanted, CFG, mlmodels.rounds_kept(first))
+    return mlmodels.predict_bounds(bounds, feats.filter("split = 'test'"), CFG, keep=["class", CFG.target_col])
+
+
+def _quantile_coverage(s, d):
+    """Rows of each class, and their shares below the lower bound, inside and above the upper one."""
+    y = F.col(CFG.target_col)
+    return rounded(_quantile_models(s, d).groupBy("class").agg(
+        F.count("*").alias("rows"), F.avg((y < F.col("q_10")).cast("double")).alias("below"),
+        F.avg(y.between(F.col("q_10"), F.col("q_90")).cast("double")).alias("inside"),
+        F.avg((y > F.col("q_90")).cast("double")).alias("above"),
+    ))
+
+
 def _search(s, d):
     """All trials over the whole search space of every tunable model, all classes together."""
     feats = prepared(s, d)[0].filter("split <> 'test'").withColumn("group", F.lit("all"))
@@ -76,6 +100,8 @@ QUERIES = {
     "E9_gradient_boosting": fit_and_score("gradient_boosting"),
     "E10_leafwise_trees": fit_and_score("leafwise_trees"),
     "E11_depthwise_trees": fit_and_score("depthwise_trees"),
+    "E12_quantile_models": lambda s, d: rounded(_quantile_models(s, d)),
+    "E12_quantile_coverage": _quantile_coverage,
     "E13_two_stage": fit_and_score("two_stage"),
     "F6_parameter_search": _search,
     "F7_training_sweep": lambda s, d: rounded(trained(s, d).metrics),

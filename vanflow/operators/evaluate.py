@@ -155,6 +155,14 @@ def add_intervals(predictions: DataFrame, quantiles: DataFrame) -> DataFrame:
     ).drop("band", "low_offset", "high_offset")
 
 
+def join_bounds(predictions: DataFrame, bounds: DataFrame, cfg: DemandConfig) -> DataFrame:
+    """Bounds of quantile models by row; a row without them has its prediction for both."""
+    keys = [*cfg.group_keys, cfg.date_col]
+    own = bounds.select(*keys, "q_10", "q_90")
+    p = F.col("prediction")
+    return predictions.join(own, keys, "left").withColumns({c: F.coalesce(c, p) for c in ("q_10", "q_90")})
+
+
 def merge_intervals(df: DataFrame) -> DataFrame:
     """Order the bounds around the prediction and floor them at zero."""
     low, high, p = F.greatest("q_10", F.lit(0.0)), F.greatest("q_90", F.lit(0.0)), F.col("prediction")

@@ -45,11 +45,12 @@ DEFAULTS = {
     "gradient_boosting": {"rounds": 200, "depth": 3, "step": 0.05, "patience": 50},
     "leafwise_trees": {"rounds": 400, "leaves": 31, "step": 0.05, "min_leaf": 10, "features": 0.9, "rows": 0.9},
     "depthwise_trees": {"rounds": 400, "depth": 6, "step": 0.05, "rows": 0.9, "features": 0.9, "l2": 1.0, "patience": 50},
-    "quantile_trees": {"rounds": 200, "leaves": 31, "step": 0.05, "min_leaf": 20},
+    "quantile_trees": {"rounds": 200, "leaves": 31, "step": 0.05, "min_leaf": 20, "patience": 50},
     "two_stage": {"regressor": "leafwise_trees"},
 }
 BOOSTED = ("gradient_boosting", "leafwise_trees", "depthwise_trees")
 TREES = ("random_forest", *BOOSTED)
+QUANTILE = "quantile_trees"
 KEEP_MISSING = ("leafwise_trees", "depthwise_trees", "quantile_trees")
 SEARCH_ROWS = 1_000  # labelled rows a class's trials see at most
 SEARCH_PATIENCE = 20  # rounds after which a trial's fold ends if they brought nothing
@@ -89,7 +90,15 @@ def _prepared(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[s
     return df.withColumns(values), list(values)
 
 
+def quantile_name(quantile: float) -> str:
+    return f"{QUANTILE}/{quantile}"
+
+
 def tree_params(name: str, settings: MLSettings, cfg: DemandConfig, **more) -> tr.TreeParams:
+    """Parameters by model name; one of `quantile_name` carries its loss."""
+    name, _, quantile = name.partition("/")
+    if quantile:
+        more = {"loss": float(quantile), **more}
     given = {k: type(getattr(tr.TreeParams(), k))(v) for k, v in settings.of(name).items() if k != "loss"}
     return tr.TreeParams(**{**given, "forest": name == "random_forest", "keep_missing": name in KEEP_MISSING, "seed": cfg.seed, **more})
 
@@ -124,6 +133,11 @@ def fit_trees(
     return out
 
 
+def rounds_kept(first: dict[tuple[str, str], Fitted]) -> dict[tuple[str, str], int]:
+    """Rounds of boosted models for a fit on more rows: as many as were best on the held rows."""
+    return {pair: max(1, f.rounds) for pair, f in first.items() if pair[1] in BOOSTED or pair[1].startswith(QUANTILE)}
+
+
 def _pipeline(inputs: list[str], estimator) -> Pipeline:
     stages = [VectorAssembler(inputCols=inputs, outputCol="features")]
     stages.append(StandardScaler(inputCol="features", outputCol="scaled", withMean=True))
@@ -235,6 +249,27 @@ def predict(fitted: Fitted, rows: DataFrame, cfg: DemandConfig, keep: Sequence[s
     )
 
 
+def predict_bounds(
+    bounds: dict[tuple[str, str], Fitted], rows: DataFrame, cfg: DemandConfig, keep: Sequence[str] = (),
+) -> DataFrame:
+    """`q_10` and `q_90` of the rows of every class that has both quantile models, floored at zero.
+
+    `rows` has class; rows of other classes do not come back.
+    """
+    names = {column: quantile_name(q) for column, q in zip(("q_10", "q_90"), cfg.interval_quantiles)}
+    columns = [*cfg.group_keys, cfg.date_col, *keep]
+    parts = []
+    for cls in sorted({c for c, _ in bounds}):
+        if all((cls, name) in bounds for name in names.values()):
+            models = {column: bounds[cls, name] for column, name in names.items()}
+            scored = {c: F.greatest(tr.predicted(m.model, m.bins), F.lit(0.0)).alias(c) for c, m in models.items()}
+            parts.append(rows.filter(F.col("class") == cls).select(*columns, *scored.values()))
+    if parts:
+        return union_all(parts)
+    none = {column: F.lit(None).cast("double").alias(column) for column in names}
+    return rows.filter(F.lit(False)).select(*columns, *none.values())
+
+
 def _draw(space: dict, rng: random.Random) -> dict:
     out = {}
     for name, (low, high, log) in space.items():

@@ -34,6 +34,7 @@ class Trained:
     best: DataFrame
     test_best: DataFrame
     models: dict[tuple[str, str], mlmodels.Fitted] = field(default_factory=dict)
+    bounds: dict[tuple[str, str], mlmodels.Fitted] = field(default_factory=dict)
 
 
 def prepare_features(
@@ -90,7 +91,8 @@ def train(
 ) -> Trained:
     """Fit every enabled model per class, score validation and test, select per pair.
 
-    Selection uses validation scores, and so do the ensemble weights. Searches
+    Selection uses validation scores, and so do the ensemble weights. Bounds come
+    from two quantile models per class, fitted on all rows before the test. Searches
     and tree models of all classes are fitted side by side, one a task; linear
     models and gates are distributed jobs over all rows of the class.
     """
@@ -118,11 +120,14 @@ def train(
         chosen |= found
     fits = {(c, m): chosen[c, m] for c, m in wanted if m in mlmodels.TREES}
     fits |= {(f"{c}+", regressor): chosen.get((c, regressor), settings) for c, m in wanted if m == "two_stage"}
+    asked = {(c, mlmodels.quantile_name(q)): settings
+             for c in present for q in cfg.interval_quantiles}
+    fits |= asked
     held = grouped.filter("split <> 'test'").withColumn("held", F.col("split") == "val")
     first = mlmodels.fit_trees(mlmodels.tree_rows(held, cfg, bins), bins, fits, cfg)
-    # A fit on more rows takes as many rounds as were best here.
-    rounds = {pair: max(1, f.rounds) for pair, f in first.items() if pair[1] in mlmodels.BOOSTED}
+    rounds = mlmodels.rounds_kept(first)
     full = mlmodels.fit_trees(mlmodels.tree_rows(held.withColumn("held", F.lit(False)), cfg, bins), bins, fits, cfg, rounds)
+    bounds = {pair: full.pop(pair) for pair in asked if pair in full}
 
     def fit_rest(cls: str, name: str) -> tuple[mlmodels.Fitted, mlmodels.Fitted]:
         own = lambda df: df.filter(F.col("class") == cls)
@@ -154,10 +159,10 @@ def train(
     metrics = materialise(evaluate.compute_metrics(test, cfg, ["class", "model"]))
     best = materialise(evaluate.best_model_per_pair(val, cfg))
     stitched = evaluate.stitch_best(test, best, cfg)
-    quantiles = evaluate.residual_quantiles(evaluate.stitch_best(val, best, cfg), cfg)
-    with_bounds = evaluate.merge_intervals(evaluate.add_intervals(stitched, quantiles))
+    learned = mlmodels.predict_bounds(bounds, part("test"), cfg)
+    with_bounds = evaluate.merge_intervals(evaluate.join_bounds(stitched, learned, cfg))
     published = evaluate.join_explainability(with_bounds, stats, cfg)
-    return Trained(feats, columns, classes, stats, val, test, metrics, weights, best, published, models)
+    return Trained(feats, columns, classes, stats, val, test, metrics, weights, best, published, models, bounds)
 
 
 def _add_ensemble(predictions: DataFrame, weights: DataFrame, cfg: DemandConfig) -> DataFrame:
@@ -201,8 +206,8 @@ def infer(
         trained.best.select(*keys, "best_model"), keys, "left"
     ).withColumn("best_model", F.coalesce("best_model", F.lit("moving_average")))
     forecast = evaluate.stitch_best(long, lookup, cfg).drop(cfg.target_col)
-    quantiles = evaluate.residual_quantiles(evaluate.stitch_best(trained.val, trained.best, cfg), cfg)
-    bounded = evaluate.merge_intervals(evaluate.add_intervals(forecast, quantiles))
+    learned = mlmodels.predict_bounds(trained.bounds, ahead, cfg)
+    bounded = evaluate.merge_intervals(evaluate.join_bounds(forecast, learned, cfg))
     named = bounded.withColumnRenamed("best_model", "model_used")
     return evaluate.join_explainability(named, trained.explainability, cfg)
 
@@ -221,7 +226,7 @@ def save_trained(trained: Trained, path: str) -> None:
     for name in _FRAMES:
         getattr(trained, name).write.mode("overwrite").parquet(f"{path}/{name}")
     rows = []
-    for (cls, name), fitted in trained.models.items():
+    for (cls, name), fitted in (trained.models | trained.bounds).items():
         grown = pickle.dumps((fitted.model, fitted.bins)) if isinstance(fitted.model, trees.Trees) else None
         pipeline = None if grown else fitted.model
         for part, stored in (("model", pipeline), ("gate", fitted.gate)):
@@ -236,16 +241,17 @@ def save_trained(trained: Trained, path: str) -> None:
 
 def load_trained(spark: SparkSession, path: str) -> Trained:
     """Read back what `save_trained` wrote, so that inference runs as a job of its own."""
-    models = {}
+    models, bounds = {}, {}
     for r in spark.read.parquet(f"{path}/index").collect():
         at = f"{path}/fitted/{r['class']}/{r['model']}"
         model, bins = pickle.loads(r["trees"]) if r["trees"] else (None, None)
         if r["has_model"]:
             model = PipelineModel.load(f"{at}/model")
-        models[(r["class"], r["model"])] = mlmodels.Fitted(
+        kept = bounds if r["fitted"].startswith(mlmodels.QUANTILE) else models
+        kept[(r["class"], r["model"])] = mlmodels.Fitted(
             r["fitted"], tuple(r["features"]), model, r["constant"],
             PipelineModel.load(f"{at}/gate") if r["has_gate"] else None, r["threshold"], bins, r["rounds"],
         )
     frames = {name: spark.read.parquet(f"{path}/{name}") for name in _FRAMES}
     names = spark.read.parquet(f"{path}/feature_columns").first()["names"]
-    return Trained(**frames, feature_columns=names, models=models)
+    return Trained(**frames, feature_columns=names, models=models, bounds=bounds)
