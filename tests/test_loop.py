@@ -112,9 +112,11 @@ def test_replay_and_stream_match_a_visit_by_visit_loop(spark, rows, tmp_path):
     assert got == want
 
     plan = items.select("session_id", "item_code", F.lit("plan").alias("kind"), "customer_code",
-                        F.col("recommended_qty").alias("quantity"), "tier", "priority_score", F.lit(0).alias("visit_sequence"))
+                        F.col("recommended_qty").alias("quantity"), "tier", "priority_score", F.lit(0).alias("visit_sequence"),
+                        F.timestamp_millis(F.lit(10**12)).alias("ts"))
     visit = items.filter("visited").select("session_id", "item_code", F.lit("visit").alias("kind"), "customer_code",
-                                           F.col("actual_qty").alias("quantity"), "tier", "priority_score", "visit_sequence")
+                                           F.col("actual_qty").alias("quantity"), "tier", "priority_score", "visit_sequence",
+                                           F.timestamp_millis(F.lit(10**12) + F.col("visit_sequence")).alias("ts"))
     first, rest = visit.filter("visit_sequence <= 3"), visit.filter("visit_sequence > 3")
     for label, parts in (("planned", (plan, first, rest)), ("early", (first, plan, rest))):
         path, out, cp = (str(tmp_path / label / x) for x in ("in", "out", "cp"))
@@ -126,6 +128,25 @@ def test_replay_and_stream_match_a_visit_by_visit_loop(spark, rows, tmp_path):
         assert {(r.session_id, r.customer_code, r.item_code): (r.adjustment, r.unsold) for r in final.collect()} == want, label
 
 
+def test_session_state_ends_after_the_watermark(spark, rows, tmp_path):
+    schema = live.SESSION_EVENT.replace("ts timestamp", "day int")
+    path, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+
+    def step(*events):
+        timed = spark.createDataFrame(list(events), schema).withColumn("ts", F.timestamp_millis(F.col("day").cast("long") * 86_400_000))
+        timed.drop("day").write.mode("append").parquet(path)
+        stream = live.live_session_state(live.read_files(spark, path, T.StructType.fromDDL(live.SESSION_EVENT)))
+        return live.drain(stream, out, cp)["stateOperators"][0]["numRowsTotal"]
+
+    plan = [("s1", "i", "plan", f"c{n}", 4, "must", float(n), 0, 1) for n in range(9)]
+    assert step(*plan) == 1
+    assert step(("s1", "i", "visit", "c0", 4, "must", 0.0, 1, 1)) == 1
+    emitted = spark.read.parquet(out).groupBy("batch_id").count().orderBy("batch_id").collect()
+    assert [r["count"] for r in emitted if r["count"]] == [9, 1]  # a visit that sells all changes its own line only
+    assert step(("s2", "i", "plan", "c0", 4, "must", 0.0, 0, 9)) == 1  # the first session has ended, the second is open
+    assert step(("s1", "i", "visit", "c1", 0, "must", 0.0, 2, 1)) == 1  # older than the watermark: dropped
+
+
 def test_redistribution_never_exceeds_what_was_unsold(rows):
     rng = random.Random(2)
     items = rows([d[:10] + (False, 0) for d in _session(rng, "s1")], ITEMS).withColumn("item_name", F.col("item_code"))

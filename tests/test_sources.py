@@ -7,6 +7,7 @@ from vanflow.config import DASHBOARD
 from vanflow.operators import supervision as sv
 from vanflow.sources import imports as im
 from vanflow.sources import stores as st
+from vanflow.streaming import live
 
 CUST = "TrxDate date, RouteCode string, ItemCode string, CategoryName string, TotalQuantity double, AvgUnitPrice double"
 
@@ -47,6 +48,30 @@ def test_last_row_of_a_batch_wins(rows):
     assert [r.TotalQuantity for r in out] == [7.0]
 
 
+def test_merge_without_a_sequence_does_not_depend_on_row_order(rows):
+    twice = [("2024-01-02", "1", "A", "c", 1.0, 3.0), ("2024-01-02", "1", "A", "c", 1.0, 2.0)]
+    for data in (twice, twice[::-1]):
+        assert [r.AvgUnitPrice for r in im.incremental_merge(rows([], CUST), rows(data, CUST)).collect()] == [3.0]
+
+
+def test_last_row_to_arrive_wins_in_the_import_stream(spark, rows, tmp_path):
+    path, store, cp = (str(tmp_path / x) for x in ("in", "store", "cp"))
+    key = ("2024-01-02", "1", "A", "c")
+    for first, last in ((9.0, 2.0), (8.0, 5.0)):  # larger values come first, in each file and in the older file
+        batch = rows([(*key, first, 1.0), (*key, last, 1.0), ("2024-01-03", "1", "B", "c", last, 1.0)], CUST)
+        batch.coalesce(1).write.mode("append").parquet(path)
+    schema = batch.schema
+
+    def merged():
+        live.import_stream(live.read_files(spark, path, schema, arrival=True), store, cp)
+        return {r.ItemCode: r.TotalQuantity for r in spark.read.parquet(store).collect()}
+
+    assert merged() == {"A": 5.0, "B": 5.0}
+    rows([(*key, 1.0, 1.0)], CUST).write.mode("append").parquet(path)
+    assert merged() == {"A": 1.0, "B": 5.0}
+    assert "_arrival" not in spark.read.parquet(store).columns
+
+
 def test_validation_names_what_is_missing(rows):
     df = rows([("2024-01-01", "1", "A", "c", 2.0, 1.0)], CUST)
     report = im.validate_input(df, ["RouteCode", "Depot"], "RouteCode", "TrxDate", ["AvgUnitPrice"])

@@ -30,6 +30,17 @@ def _merge_parts(spark, sf):
     return existing, incoming
 
 
+def _merge_lines(spark, sf):
+    """The same existing rows and single invoice lines after the month before the cut, many to a key; the last line of a key wins."""
+    existing, _ = _merge_parts(spark, sf)
+    lines = im.invoiced(fx.raw_sales(spark, sf, keep=("l_orderkey", "l_linenumber"))).filter("TrxDate > DATE '2001-05-31'")
+    incoming = lines.select(
+        *im.CUSTOMER_KEYS, im.positive_qty().alias("TotalQuantity"), F.col("UnitPrice").alias("AvgUnitPrice"),
+        F.struct("l_orderkey", "l_linenumber").alias("line"),
+    )
+    return im.incremental_merge(existing, incoming, sequence="line")
+
+
 def _full_refresh(spark, sf):
     datasets = {
         "sales_recent": (fx.sales_recent(spark, sf), "TrxDate"),
@@ -89,6 +100,7 @@ QUERIES = {
     "A4_demand_forecast": lambda s, d: im.demand_forecast(
         fx.forecast_results(s, d), routes=ROUTES, since="2001-06-15"),
     "A5_incremental_merge": lambda s, d: im.incremental_merge(*_merge_parts(s, d)),
+    "A5_last_line_of_a_key": _merge_lines,
     "A6_full_refresh": _full_refresh,
     "A7_dataset_status": lambda s, d: im.dataset_status(_status_inputs(s, d)),
     "A7_status_summary": lambda s, d: im.status_summary(im.dataset_status(_status_inputs(s, d))),
@@ -184,6 +196,19 @@ ORACLES = {
         SELECT * EXCLUDE (seq) FROM u QUALIFY row_number() OVER (PARTITION BY TrxDate, RouteCode,
         CustomerCode, CustomerName, ItemCode, ItemName, CategoryCode, CategoryName
         ORDER BY seq DESC) = 1""",
+    "A5_last_line_of_a_key": sb.with_(sb.raw(keep=", l_orderkey, l_linenumber"), sb.CUSTOMER, """u AS (
+        SELECT *, 0 AS seq, 0 AS l_orderkey, 0 AS l_linenumber FROM cust WHERE TrxDate <= DATE '2001-06-30'
+        UNION ALL SELECT TrxDate, RouteCode, CustomerCode, CustomerName, ItemCode, ItemName, CategoryCode, CategoryName,
+        greatest(QuantityInPCs, 0), UnitPrice, 1, l_orderkey, l_linenumber FROM raw
+        WHERE ItemType = 'OrderItem' AND TrxType = 'SalesInvoice' AND TrxDate > DATE '2001-05-31')""") + """
+        SELECT * EXCLUDE (seq, l_orderkey, l_linenumber) FROM u QUALIFY row_number() OVER (PARTITION BY TrxDate, RouteCode,
+        CustomerCode, CustomerName, ItemCode, ItemName, CategoryCode, CategoryName
+        ORDER BY seq DESC, l_orderkey DESC, l_linenumber DESC, TotalQuantity DESC, AvgUnitPrice DESC) = 1""",
+    "A6_full_refresh": _STATUS + "SELECT * FROM st WHERE dataset IN ('sales_recent', 'journey_plan')",
+    "A10_validate_input": sb.with_(*sb.TO_SALES, """n AS (SELECT COUNT(*) AS n, COUNT(TrxDate) AS good FROM sales)""") + """
+        SELECT 'required_columns' AS "check", true AS passed, '' AS detail UNION ALL SELECT 'numeric_target', true, 'double'
+        UNION ALL SELECT 'causal_columns', true, ''
+        UNION ALL SELECT 'parseable_dates', good > 0 OR n = 0, concat(good, '/', n) FROM n""",
     "A7_dataset_status": _STATUS + "SELECT * FROM st",
     "A7_status_summary": _STATUS + """SELECT COUNT(*) AS datasets,
         CAST(SUM(rows) AS BIGINT) AS total_rows, MAX(last_date) AS newest_date FROM st""",

@@ -15,7 +15,7 @@ def halfup(expr: str, digits: int) -> str:
     return f"(floor(CAST(({expr}) AS DOUBLE) * {scale}.0::DOUBLE + 0.5::DOUBLE) / {scale}.0::DOUBLE)"
 
 
-def raw(route: str = "region", item: str = "brand") -> str:
+def raw(route: str = "region", item: str = "brand", keep: str = "") -> str:
     return f"""raw AS (
   SELECT CAST(o_orderdate AS DATE) AS TrxDate, CAST(n_{route}key AS VARCHAR) AS RouteCode,
     CAST(c_custkey AS VARCHAR) AS CustomerCode, c_name AS CustomerName,
@@ -24,7 +24,7 @@ def raw(route: str = "region", item: str = "brand") -> str:
     CASE WHEN CAST(round(l_tax*100) AS INT) = 8 THEN 'FreeItem' ELSE 'OrderItem' END AS ItemType,
     CASE WHEN o_orderstatus = 'P' THEN 'Quotation' ELSE 'SalesInvoice' END AS TrxType,
     CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS QuantityInPCs,
-    l_extendedprice / l_quantity AS UnitPrice
+    l_extendedprice / l_quantity AS UnitPrice{keep}
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey)"""

@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
-def raw_sales(spark: SparkSession, sf: str, route: str = "region", item: str = "brand") -> DataFrame:
-    """Order lines as sales-view rows; route is nation or region, item brand or type."""
+def raw_sales(spark: SparkSession, sf: str, route: str = "region", item: str = "brand", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Order lines as sales-view rows; route is nation or region, item brand or type; `keep` names further source columns."""
     line = table(spark, sf, "lineitem")
     orders = table(spark, sf, "orders")
     customer = table(spark, sf, "customer")
@@ -54,7 +54,8 @@ def raw_sales(spark: SparkSession, sf: str, route: str = "region", item: str = "
         F.when(F.col("l_returnflag") == "R", -F.col("l_quantity"))
         .otherwise(F.col("l_quantity")).alias("QuantityInPCs"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("UnitPrice"),
-    ).select(*imports.RAW_SALES.fieldNames())
+        *keep,
+    ).select(*imports.RAW_SALES.fieldNames(), *keep)
 
 
 def event_sales(spark: SparkSession, sf: str) -> DataFrame:

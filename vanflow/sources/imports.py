@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,21 +155,26 @@ def incremental_merge(
     incoming: DataFrame,
     date_col: str = "TrxDate",
     measures: Sequence[str] = MEASURES,
-    sequence: str | None = None,
+    sequence: str | Column | None = None,
 ) -> DataFrame:
     """Append newer rows; on equal keys the latest row wins.
 
     Keys are all columns but the measures, compared null-safely. Existing rows
     older than the first incoming date cannot collide, so only the overlap is
     shuffled for the anti-join; rows without a date are compared and kept like
-    any other. ``sequence`` orders duplicates inside a batch.
+    any other. ``sequence``, such as the column of `with_arrival`, orders rows
+    of one key inside a batch; of rows with equal sequences, or without one,
+    that with the larger measures wins. The choice is an aggregate, so most
+    repeats are gone before the shuffle.
     """
     keys = [c for c in existing.columns if c not in measures]
-    if sequence is None:
-        latest = incoming.dropDuplicates(keys)
+    values = [c for c in existing.columns if c in measures]
+    order = [] if sequence is None else [(F.col(sequence) if isinstance(sequence, str) else sequence).alias("_sequence")]
+    if order or values:
+        newest = F.max(F.struct(*order, *values)).alias("_newest")
+        latest = incoming.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_newest.{c}").alias(c) for c in values])
     else:
-        w = Window.partitionBy(*keys).orderBy(F.col(sequence).desc())
-        latest = incoming.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+        latest = incoming.dropDuplicates(keys)
     latest = latest.select(*existing.columns)
     first = incoming.agg(F.min(date_col)).scalar()
     undated = F.col(date_col).isNull()
@@ -181,6 +186,16 @@ def incremental_merge(
     return untouched.unionByName(survivors).unionByName(latest)
 
 
+ARRIVAL = "_arrival"
+
+
+def with_arrival(files: DataFrame) -> DataFrame:
+    """Adds each row's place in the order of arrival to a frame or stream read from Parquet files: file time, file, row."""
+    m = F.col("_metadata")
+    place = F.struct(m["file_modification_time"].alias("time"), m["file_path"].alias("file"), m["row_index"].alias("row"))
+    return files.withColumn(ARRIVAL, place)
+
+
 def newer_than_watermark(source: DataFrame, existing: DataFrame, date_col: str) -> DataFrame:
     """Source rows after the newest date already held."""
     mark = existing.agg(F.max(date_col)).scalar()
