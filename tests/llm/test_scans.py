@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from itertools import groupby
 
@@ -52,6 +53,22 @@ def test_anchor_expansion_on_long_runs_and_added_kinds():
     assert pii.joined([s for s in pii.find("see https://bob:pw@host.example/x ok") if s[1] == "url"]) == "url:4:33"
 
 
+def test_url_spans_do_not_overlap():
+    text = "x://a@b" * 8000
+    urls = [s for s in pii.find(text) if s[1] == "url"]
+    assert urls == [(0, "url", len(text))]
+    two = pii.joined([s for s in pii.find("ftp://u@h.x/p http://v:w@k.y z") if s[1] == "url"])
+    assert two == "url:0:13,url:14:28"
+
+
+def test_token_runs_are_scanned_once():
+    start = time.monotonic()
+    assert [s for s in secrets.find("eyJ" * 60_000) if s[1] == "jwt"] == []
+    assert time.monotonic() - start < 2
+    token = "eyJabcdefgh.eyJabcdefgh.abcdefgh"
+    assert [s for s in secrets.find(f"a {token} b") if s[1] == "jwt"] == [(2, "jwt", 2 + len(token))]
+
+
 def test_pii_rows(spark):
     rows = texts(spark)
     edge = [(None, "x@y.zz", None, None, None), (1, None, None, None, None), (1, None, None, None, None), (2, "", "a", "b", 0)]
@@ -104,6 +121,9 @@ def test_ledger_scans_each_blob_and_rule_version_once(spark, tmp_path):
     secrets.scan_versions(second, ledger=ledger, rule_version="next")
     assert secrets.ledger_at(spark, ledger).where("rule_version = 'next'").count() > 0
     assert secrets.scan_versions(second.limit(0), ledger=f"file://{tmp_path}/none").count() == 0
+    again = secrets.ledger_at(spark, ledger).where(secrets.F.col("rule_version") == secrets.RULE_VERSION).limit(5).collect()
+    spark.createDataFrame(again, secrets.LEDGER).write.mode("append").partitionBy("rule_version").parquet(ledger)  # a second run at once
+    assert secrets.scan_versions(second, ledger=ledger).count() == len(rows)
 
 
 def test_packing_places_every_token_once(spark):

@@ -76,7 +76,13 @@ QUERIES = {
         op10_katz_backoff, op11_trie_frontier_spelling, op12_batched_token_counts, op13_conversation_repair,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_patricia_exact_dedup": """WITH d AS (SELECT doc_id, translate(COALESCE(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+        SELECT doc_id, MAX(doc_id) OVER w AS keep_id, COUNT(*) OVER w AS group_size,
+          doc_id = MAX(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY t)""",
+}
 
 
 def queries() -> dict:

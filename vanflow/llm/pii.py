@@ -71,7 +71,7 @@ def _iban(text: str) -> bool:
 def find(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every validated span, by start and then kind; code points, end exclusive."""
     spans: list[tuple[int, str, int]] = []
-    email_from = ip_from = card_from = account_from = 0
+    email_from = ip_from = card_from = account_from = url_from = 0
     for at, anchor in _ANCHORS.iter(text):
         if anchor == "@":
             start = at
@@ -102,13 +102,14 @@ def find(text: str) -> list[tuple[int, str, int]]:
             if number and 9 <= sum("0" <= c <= "9" for c in number.group()) <= 15:
                 spans.append((at, "phone", number.end()))
         elif anchor == "/":
-            found = _USER_URL.match(text, at - 2)
+            found = _USER_URL.match(text, at - 2) if at - 2 >= url_from else None
             if found:
                 start = at - 2
-                while start > 0 and at - start < 16 and text[start - 1].isascii() and text[start - 1].isalpha():
+                while start > url_from and at - start < 16 and text[start - 1].isascii() and text[start - 1].isalpha():
                     start -= 1
                 if start < at - 2:
                     spans.append((start, "url", found.end()))
+                    url_from = found.end()
         elif at >= account_from:
             found = _ACCOUNT.match(text, at + 1)
             if found:

@@ -19,7 +19,7 @@ from vanflow.llm.base import map_rows, type_of
 from vanflow.session import new_folder
 
 # Rule version, kinds in their order, patterns.
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "jwt", "hosted")
 RULES = {
@@ -29,7 +29,7 @@ RULES = {
     "access": re.compile(r"AKIA[A-Z0-9]{16,}"),
     "hex": re.compile(r"[0-9a-f]{24,}"),
     "pem": re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "hosted": re.compile(r"gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{20,}"),
 }
 
@@ -86,7 +86,8 @@ def scan_versions(
     texts are scanned once, however many paths hold them; only their
     identifiers are grouped, with partial aggregation, and the findings come
     back by a join that adaptive execution splits at a hot blob. An empty table
-    leaves the ledger as it is. Further columns are ignored.
+    leaves the ledger as it is. Further columns are ignored. Runs at once may
+    both append a blob; it is read as one row.
     """
     spark = versions.sparkSession
     ledger = ledger or new_folder(spark, "ledger")
@@ -99,7 +100,7 @@ def scan_versions(
     )
     found = scan_blobs(unseen.select("blob", "text")).dropDuplicates(["blob"])
     found.withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
-    known = ledger_at(spark, ledger).where(F.col("rule_version") == rule_version).drop("rule_version")
+    known = ledger_at(spark, ledger).where(F.col("rule_version") == rule_version).drop("rule_version").dropDuplicates(["blob"])
     return texts.select("path", "blob").join(known, "blob").select(
         F.col("path").cast(type_of(texts, "path")).alias(path_col), *[c for c in known.columns if c != "blob"], "blob"
     )
