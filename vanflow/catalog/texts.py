@@ -87,6 +87,10 @@ QUERIES = {
     "P6_pre_visit_facts": lambda s, d: pt.pre_visit_facts(loop.recs(s, d)),
     "P7_route_prompts": lambda s, d: pt.route_prompts(
         sv.session_summary(sp.scores(s, d)), pt.route_performance(sp.scores(s, d))),
+    "P7_customer_prompts": lambda s, d: pt.customer_prompts(
+        sp.scores(s, d), pt.customer_history(recs(s, d)), pt.current_visit(loop.sessions(s, d))),
+    "P7_planning_prompts": lambda s, d: pt.planning_prompts(recs(s, d)),
+    "P7_pre_visit_prompts": lambda s, d: pt.pre_visit_prompts(loop.recs(s, d)),
     "P8_parsed_answers": _parsed,
     "P8_parsed_answers_all_layouts": _all_parsed,
     "P9_scrubbed_codes": _scrubbed,
@@ -171,3 +175,24 @@ ORACLES = {
     "P9_scrubbed_codes": sb.with_(*sb.TO_SESS, _ANS) + """SELECT session_id, replace(replace(answer, 'Customer-999999', '[customer]'),
       'Customer-' || c, c) AS answer FROM an""",
 }
+
+ORACLES |= {
+    "P7_customer_prompts": sp._O + f""" SELECT session_id, route_code, date, customer_code, 'Customer ' || customer_code || ' of route ' || route_code
+      || ' on ' || CAST(date AS VARCHAR) || {_NL} || 'Score ' || {_num('score', 1)} || '%, coverage ' || {_num('coverage', 1)} || '%, accuracy '
+      || {_num('accuracy', 1)} || '%.' || {_NL} || 'Before this visit:' || {_NL} || COALESCE(h.text, 'No historical data') || {_NL}
+      || 'This visit:' || {_NL} || COALESCE(v.text, 'No sales data') AS prompt FROM cs
+      LEFT JOIN ({ORACLES["P1_customer_history"]}) AS h ON TrxDate = date AND RouteCode = route_code AND CustomerCode = customer_code
+      LEFT JOIN ({ORACLES["P2_current_visit"]}) AS v USING (session_id, customer_code)""",
+    "P7_planning_prompts": sb.with_(*sb.TO_RECS, """it AS (SELECT TrxDate, RouteCode, ItemCode, MAX(VanLoad) AS v, SUM(RecommendedQuantity) AS r
+        FROM recs GROUP BY ALL),
+      st AS (SELECT TrxDate, RouteCode, COUNT(*) FILTER (v > 0) AS n, CAST(SUM(v) AS BIGINT) AS v, CAST(SUM(r) AS BIGINT) AS r FROM it GROUP BY ALL),
+      dm AS (SELECT TrxDate, RouteCode, COUNT(DISTINCT CustomerCode) AS c FROM recs GROUP BY ALL)""")
+    + f"""SELECT TrxDate, RouteCode, 'Plan of route ' || RouteCode || ' on ' || CAST(TrxDate AS VARCHAR) || {_NL} || 'Van: ' || n || ' items, ' || v
+      || ' units.' || {_NL} || vl.text || {_NL} || 'Demand: ' || c || ' customers, ' || r || ' units.' || {_NL} || cr.text AS prompt
+      FROM st JOIN dm USING (TrxDate, RouteCode) LEFT JOIN ({ORACLES["P4_van_load_status"]}) AS vl USING (TrxDate, RouteCode)
+      LEFT JOIN ({ORACLES["P5_recommendation_blocks"]}) AS cr USING (TrxDate, RouteCode)""",
+    "P7_pre_visit_prompts": sb.with_(*sb.TO_RECS, "nm AS (SELECT TrxDate, RouteCode, CustomerCode, MAX(CustomerName) AS name FROM recs GROUP BY ALL)")
+    + f"""SELECT TrxDate, RouteCode, CustomerCode, 'Visit to ' || CustomerCode || ' (' || COALESCE(NULLIF(name, ''), CustomerCode) || '), route '
+      || RouteCode || ', on ' || CAST(TrxDate AS VARCHAR) || {_NL} || total_items || ' items, ' || total_qty || ' units.' || {_NL} || items_text || {_NL}
+      || 'Reasons:' || {_NL} || context AS prompt FROM nm JOIN ({ORACLES["P6_pre_visit_facts"]}) AS f USING (TrxDate, RouteCode, CustomerCode)""",
+}

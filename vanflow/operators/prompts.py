@@ -43,6 +43,25 @@ ROUTE_TEMPLATE = (
     "{actual_data}"
 )
 
+CUSTOMER_TEMPLATE = (
+    "Customer {customer_code} of route {route_code} on {date}\n"
+    "Score {score:.1f}%, coverage {coverage:.1f}%, accuracy {accuracy:.1f}%.\n"
+    "Before this visit:\n{history}\n"
+    "This visit:\n{visit}"
+)
+
+PLANNING_TEMPLATE = (
+    "Plan of route {route_code} on {date}\n"
+    "Van: {van_items} items, {van_quantity} units.\n{van_load}\n"
+    "Demand: {total_customers} customers, {total_recommended} units.\n{recommendations}"
+)
+
+PRE_VISIT_TEMPLATE = (
+    "Visit to {customer_code} ({customer_name}), route {route_code}, on {date}\n"
+    "{total_items} items, {total_quantity} units.\n{items}\n"
+    "Reasons:\n{context}"
+)
+
 
 def left(text: Column, width: int) -> Column:
     return F.format_string(f"%-{width}s", text)
@@ -271,6 +290,61 @@ def route_prompts(summary: DataFrame, performance: DataFrame, template: str = RO
     return joined.select(*keys, render(template, values).alias("prompt"))
 
 
+def customer_prompts(
+    scores: DataFrame, history: DataFrame, visits: DataFrame, template: str = CUSTOMER_TEMPLATE
+) -> DataFrame:
+    """Customer analysis prompt per session and customer, visited or not.
+
+    ``history`` is keyed by date, route and customer, ``visits`` by session and
+    customer; each has one ``text`` a key, a missing one is named as such.
+    """
+    keys = ["session_id", "route_code", "date", "customer_code"]
+    before = history.select(
+        F.col("TrxDate").alias("date"), F.col("RouteCode").alias("route_code"),
+        F.col("CustomerCode").alias("customer_code"), F.col("text").alias("_history"))
+    now = visits.select("session_id", "customer_code", F.col("text").alias("_visit"))
+    joined = scores.select(*keys, "score", "coverage", "accuracy").join(
+        before, ["date", "route_code", "customer_code"], "left").join(now, ["session_id", "customer_code"], "left")
+    values = {c: F.col(c) for c in ("customer_code", "route_code", "date", "score", "coverage", "accuracy")}
+    values["history"] = F.coalesce("_history", F.lit("No historical data"))
+    values["visit"] = F.coalesce("_visit", F.lit("No sales data"))
+    return joined.select(*keys, render(template, values).alias("prompt"))
+
+
+def planning_prompts(
+    recs: DataFrame, template: str = PLANNING_TEMPLATE, limits: PromptLimits = PROMPTS
+) -> DataFrame:
+    """Planning prompt per route and day: van stock against demand, and the customers' strongest items.
+
+    Totals cover all items and customers; the two tables are cut to their limits.
+    """
+    keys = ["TrxDate", "RouteCode"]
+    stock = van_load_lines(recs).groupBy(*keys).agg(
+        F.sum((F.col("van_qty") > 0).cast("int")).alias("van_items"), F.sum("van_qty").alias("van_quantity"),
+        F.sum("rec_qty").alias("total_recommended"))
+    demand = recs.groupBy(*keys).agg(F.countDistinct("CustomerCode").alias("total_customers"))
+    joined = (
+        stock.join(demand, keys)
+        .join(van_load_status(recs, limits).withColumnRenamed("text", "van_load"), keys, "left")
+        .join(recommendation_blocks(recs, limits).withColumnRenamed("text", "recommendations"), keys, "left"))
+    names = ("van_items", "van_quantity", "van_load", "total_customers", "total_recommended", "recommendations")
+    values = {"route_code": F.col("RouteCode"), "date": F.col("TrxDate")} | {c: F.col(c) for c in names}
+    return joined.select(*keys, render(template, values).alias("prompt"))
+
+
+def pre_visit_prompts(recs: DataFrame, template: str = PRE_VISIT_TEMPLATE) -> DataFrame:
+    """Briefing prompt per planned visit; a customer without a name goes by its code."""
+    names = recs.groupBy(*VISIT).agg(F.max("CustomerName").alias("_name"))
+    joined = pre_visit_facts(recs).join(names, VISIT)
+    named = F.when(F.coalesce("_name", F.lit("")) != "", F.col("_name")).otherwise(F.col("CustomerCode"))
+    values = {
+        "customer_code": F.col("CustomerCode"), "customer_name": named, "route_code": F.col("RouteCode"),
+        "date": F.col("TrxDate"), "total_items": F.col("total_items"), "total_quantity": F.col("total_qty"),
+        "items": F.col("items_text"), "context": F.col("context"),
+    }
+    return joined.select(*VISIT, render(template, values).alias("prompt"))
+
+
 def strip_fences(text: Column) -> Column:
     """Drop code-fence lines from answers that open with one."""
     trimmed = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
