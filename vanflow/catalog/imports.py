@@ -9,6 +9,7 @@ from vanflow.operators import kpis
 from vanflow.session import shared_dir
 from vanflow.sources import fixtures as fx
 from vanflow.sources import imports as im
+from vanflow.sources import slices
 from vanflow.catalog import sqlbase as sb
 
 ROUTES = ["0", "1", "3"]
@@ -49,7 +50,7 @@ def _full_refresh(spark, sf):
     import uuid
 
     paths = im.refresh_all(datasets, f"{shared_dir(spark)}/refresh-{uuid.uuid4().hex}")
-    stored = {n: (spark.read.parquet(p), datasets[n][1]) for n, p in paths.items()}
+    stored = {n: (slices.read(spark, p), datasets[n][1]) for n, p in paths.items()}
     return im.dataset_status(stored)
 
 

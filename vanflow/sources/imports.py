@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from vanflow.functions.numeric import sql_round
 from vanflow.functions.text import clean_code
+from vanflow.sources import slices
 
 RAW_SALES = T.StructType(
     [
@@ -203,17 +204,11 @@ def newer_than_watermark(source: DataFrame, existing: DataFrame, date_col: str)
 
 
 def refresh_all(datasets: dict[str, tuple[DataFrame, str]], base: str) -> dict[str, str]:
-    """Replace every registered dataset, partitioned by its date column's month."""
+    """Replace every registered dataset whole, in slices by its date column's month; read back with `slices.read`."""
     written = {}
     for name, (df, date_col) in datasets.items():
         path = f"{base}/{name}"
-        (
-            df.withColumn("_month", F.date_format(date_col, "yyyy-MM"))
-            .hint("rebalance", F.col("_month"))
-            .write.mode("overwrite")
-            .partitionBy("_month")
-            .parquet(path)
-        )
+        slices.replace(df.withColumn("_month", F.date_format(date_col, "yyyy-MM")), path, ["_month"], whole=True)
         written[name] = path
     return written
 

@@ -11,6 +11,7 @@ from vanflow.functions.numeric import py_round
 from vanflow.functions.text import clean_code
 from vanflow.operators.explain import SIGNALS_TYPE
 from vanflow.operators.supervision import CUSTOMER, ITEM_FIELDS, SESSION
+from vanflow.sources import slices
 from vanflow.sources.imports import FORECAST_COLUMNS
 
 ARTIFACTS = (
@@ -43,17 +44,12 @@ FORECAST_RESULTS = {
 
 
 def replace_slices(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Overwrite exactly the partitions the frame touches."""
-    (
-        df.hint("rebalance", *[F.col(c) for c in partition_by])
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by).parquet(path)
-    )
+    """Replace exactly the slices the frame touches; until the switch readers see the former ones."""
+    slices.replace(df, path, partition_by)
 
 
 def read_store(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    return slices.read(spark, path, schema)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:
@@ -308,7 +304,7 @@ def rebuild_sessions(
 def write_artifact(df: DataFrame, base: str, name: str) -> None:
     if name not in ARTIFACTS:
         raise ValueError(f"unknown artifact {name}")
-    df.write.mode("overwrite").parquet(f"{base}/{name}")
+    slices.replace(df, f"{base}/{name}")
 
 
 def read_artifact(
@@ -319,7 +315,7 @@ def read_artifact(
     if name not in ARTIFACTS:
         raise ValueError(f"unknown artifact {name}")
     return filter_artifact(
-        spark.read.parquet(f"{base}/{name}"), route, item, demand_class, order, offset, limit
+        slices.read(spark, f"{base}/{name}"), route, item, demand_class, order, offset, limit
     )
 
 
