@@ -120,6 +120,44 @@ def test_tiled_peers_match_brute_force(rows):
         assert got == want
 
 
+def test_tiles_without_a_near_peer_are_not_met(rows):
+    """Sixteen circles of customers with items of their own and one item that all buy."""
+    rng = random.Random(5)
+    data = []
+    for circle in range(16):
+        for n in range(24):
+            for i in rng.sample(range(6), 5):
+                data.append(("1", f"c{circle:02d}{n:02d}", f"i{circle:02d}{i}", float(rng.randint(5, 9))))
+            data.append(("1", f"c{circle:02d}{n:02d}", "everywhere", 1.0))
+    df = rows(data, "RouteCode string, CustomerCode string, ItemCode string, weight double")
+    vectors = {}
+    for _, c, i, w in data:
+        vectors.setdefault(c, {})[i] = w
+    norm = {c: np.sqrt(sum(x * x for x in v.values())) for c, v in vectors.items()}
+    want = {
+        c: [p for _, p in sorted(
+            (-round(sum(v[i] * u[i] for i in v.keys() & u.keys()) / norm[c] / norm[p], 9), p)
+            for p, u in vectors.items() if p != c)[:4]]
+        for c, v in vectors.items()}
+    splits = Splits(similarity_block=24)
+    met = []
+    compare = pairs._compare
+
+    def counted(unit, asked, k, size):
+        met.append((asked.count(), unit.select("tile").distinct().count()))
+        return compare(unit, asked, k, size)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pairs, "_compare", counted)
+        got = {}
+        for x in pairs.nearest_peers(df, df, 4, splits=splits).orderBy("peer_rank").collect():
+            got.setdefault(x.CustomerCode, []).append(x.peer)
+    assert got == want
+    home, away = met
+    assert home[0] == len(vectors) and home[1] >= 10
+    assert away[0] < len(vectors) * home[1] / 2
+
+
 def test_allocation_matches_the_greedy_loop(rows):
     rng = random.Random(11)
     data = []

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vanflow.config import SPLITS, Splits
@@ -138,6 +138,72 @@ def _peer_tile(k: int, exclude_self: bool = True):
     return run
 
 
+def _similarity_tiles(norms: DataFrame, size: int) -> DataFrame:
+    """Adds a tile of about `size` customers, like baskets together.
+
+    Customers with the same least item hash (a one-value MinHash) form a group:
+    large groups are cut, small ones share bins. Group sizes are counted, so no
+    tile holds a hot group whole.
+    """
+    groups = cut_lineage(norms.groupBy("route", "lead").agg(F.count(F.lit(1)).alias("_n")))
+    bins = groups.filter(F.col("_n") < size).groupBy("route").agg(_tiles(F.sum("_n"), size).alias("_bins"))
+    sized = _per_route(groups.join(bins, "route", "left"))
+    part = _tile_of("customer", _tiles(F.col("_n"), size))
+    own = F.concat_ws(":", F.col("lead").cast("string"), part.cast("string"))
+    shared = F.concat(F.lit("bin"), F.pmod("lead", F.col("_bins").cast("bigint")).cast("string"))
+    return norms.join(sized, ["route", "lead"]).withColumn(
+        "tile", F.when(F.col("_n") >= size, own).otherwise(shared)).select("route", "customer", "norm", "tile")
+
+
+_SLACK = 1e-8  # similarities are rounded to nine decimals
+
+
+def candidate_tiles(unit: DataFrame, wanted: DataFrame, floors: DataFrame) -> DataFrame:
+    """Tiles, other than its own, that may hold a peer at or over a target's floor: (route, customer, tile).
+
+    A target's items are walked from the most to the least common while what
+    they can add at most (by the item's largest weight and by their own norm)
+    stays below the floor: a peer at the floor shares an item beyond that point.
+    Only those items are looked up in the index of tiles by item, and a tile
+    stays if its largest weights there, plus the bound of the rest, reach the floor.
+    """
+    index = unit.groupBy("route", "item", "tile").agg(F.max("unit").alias("top"), F.count(F.lit(1)).alias("n"))
+    index = cut_lineage(index)
+    common = index.groupBy("route", "item").agg(F.max("top").alias("_top"), F.sum("n").alias("_n"))
+    own = (
+        unit.join(wanted, ["route", "customer"], "left_semi").join(floors, ["route", "customer"], "left")
+        .withColumn("floor", F.coalesce("floor", F.lit(0.0)) - _SLACK).withColumnRenamed("tile", "home")
+        .join(common, ["route", "item"])
+    )
+    each = Window.partitionBy("route", "customer")
+    walk = each.orderBy(F.desc("_n"), "item").rowsBetween(Window.unboundedPreceding, 0)
+    bound = F.least(F.sum(F.col("unit") * F.col("_top")).over(walk), F.sqrt(F.sum(F.col("unit") * F.col("unit")).over(walk)))
+    split = own.withColumn("_bound", bound).withColumn("_looked_up", F.col("_bound") >= F.col("floor"))
+    rest = F.coalesce(F.max(F.when(~F.col("_looked_up"), F.col("_bound"))).over(each), F.lit(0.0))
+    looked_up = split.withColumn("_rest", rest).filter("_looked_up").select(
+        "route", "item", "customer", "unit", "home", "floor", "_rest")
+    met = looked_up.join(index, ["route", "item"]).filter(F.col("tile") != F.col("home"))
+    return met.groupBy("route", "customer", "tile").agg(
+        F.sum(F.col("unit") * F.col("top")).alias("_sum"), F.max("_rest").alias("_rest"), F.max("floor").alias("floor")
+    ).filter(F.col("_sum") + F.col("_rest") >= F.col("floor")).select("route", "customer", "tile")
+
+
+def _compare(unit: DataFrame, asked: DataFrame, k: int, size: int) -> DataFrame:
+    """Nearest peers of (route, customer) among the tile asked for; tiles asked for by many meet them in parts."""
+    parts = _per_route(asked.groupBy("route", "tile").agg(_tiles(F.count(F.lit(1)), size).alias("_parts")))
+    left = asked.join(parts, ["route", "tile"]).withColumn("part", _tile_of("customer", F.col("_parts"))).select(
+        "route", "tile", "part", "customer").join(unit.drop("tile"), ["route", "customer"])
+    # fresh aliases keep the two sides of the cogroup apart
+    right = unit.join(parts, ["route", "tile"]).select(
+        *[F.col(c).alias(c) for c in ("route", "customer", "item", "unit", "tile")],
+        F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"),
+    )
+    return (
+        left.groupBy("route", "tile", "part").cogroup(right.groupBy("route", "tile", "part"))
+        .applyInPandas(_peer_tile(k), "route string, customer string, peer string, sim double")
+    )
+
+
 def nearest_peers(
     weights: DataFrame,
     targets: DataFrame,
@@ -150,42 +216,29 @@ def nearest_peers(
 ) -> DataFrame:
     """The k most similar customers (cosine > 0) of every target customer on its route.
 
-    Similarities are rounded to nine decimals; ties go to the lower code.
+    Weights are not negative. Similarities are rounded to nine decimals; ties
+    go to the lower code. A target first meets its own tile of like baskets; the
+    k-th similarity found there is its floor, and it then meets only the other
+    tiles that may hold a peer at the floor. Nothing is left out by this.
     """
+    size = splits.similarity_block
     base = weights.select(
         F.col(route).alias("route"), F.col(customer).alias("customer"),
         F.col(item).alias("item"), F.col(weight).alias("w"),
     )
     norms = base.groupBy("route", "customer").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
-    )
-    size = _per_route(norms.groupBy("route").agg(F.count(F.lit(1)).alias("_n")))
-    unit = (
-        base.join(norms, ["route", "customer"]).join(size, "route")
-        .withColumn("unit", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0))
-        .withColumn("tiles", _tiles(F.col("_n"), splits.similarity_block))
-        .withColumn("tile", _tile_of("customer", F.col("tiles")))
-        .select("route", "customer", "item", "unit", "tiles", "tile")
-    )
-    wanted = targets.select(
-        F.col(route).alias("route"), F.col(customer).alias("customer")
-    ).distinct()
-    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = unit.join(wanted, ["route", "customer"], "left_semi").select(
-        "route", "customer", "item", "unit", F.col("tile").alias("lt"), every.alias("rt")
-    )
-    # fresh aliases keep the two sides of the cogroup apart
-    right = unit.select(
-        *[F.col(c).alias(c) for c in ("route", "customer", "item", "unit")],
-        every.alias("lt"), F.col("tile").alias("rt"),
-    )
-    near = (
-        left.groupBy("route", "lt", "rt")
-        .cogroup(right.groupBy("route", "lt", "rt"))
-        .applyInPandas(_peer_tile(k), "route string, customer string, peer string, sim double")
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.min(F.xxhash64("item")).alias("lead"),
     )
+    placed = _similarity_tiles(norms.filter("norm > 0"), size)
+    unit = cut_lineage(base.filter("w > 0").join(placed, ["route", "customer"]).select(
+        "route", "customer", "item", (F.col("w") / F.col("norm")).alias("unit"), "tile"))
+    wanted = targets.select(F.col(route).alias("route"), F.col(customer).alias("customer")).distinct()
+    own = unit.join(wanted, ["route", "customer"], "left_semi").select("route", "customer", "tile").distinct()
+    at_home = cut_lineage(_compare(unit, cut_lineage(own), k, size))
+    floors = at_home.groupBy("route", "customer").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).alias("floor"))
+    away = _compare(unit, cut_lineage(candidate_tiles(unit, wanted, floors)), k, size)
     return first_ranked(
-        near, ["route", "customer"], [F.desc("sim"), F.asc("peer")], k, "peer_rank"
+        at_home.unionByName(away), ["route", "customer"], [F.desc("sim"), F.asc("peer")], k, "peer_rank"
     ).select(
         F.col("route").alias(route), F.col("customer").alias(customer), "peer", "sim", "peer_rank"
     )
