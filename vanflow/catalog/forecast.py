@@ -219,6 +219,25 @@ _RQ = f"""rq AS (SELECT class, {_BAND.format(p='prediction')} AS band,
 _EXPL_TRAIN = dm._EXPL.split("ix AS (")[1]
 
 
+def _seasonal_sql(season: int, steps: int) -> str:
+    """Holt-Winters as one list fold per pair and grid point; the cycle rotates, so that its head is the current place."""
+    new = "(a * (v - s.cyc[1]) + (1 - a) * (s.level + s.slope))"
+    error = "(v - (s.level + s.slope + s.cyc[1]))"
+    return sb.with_(*_BASE, f"""hw AS (SELECT RouteCode, ItemCode, h, len(h) >= {2 * season} AS cyclic FROM lvh),
+      h0 AS (SELECT *, CASE WHEN cyclic THEN {season} ELSE 1 END AS m, CASE WHEN cyclic THEN list_avg(h[:{season}]) ELSE h[1] END AS l0 FROM hw),
+      grid AS (SELECT * FROM (VALUES (0.1::DOUBLE), (0.3), (0.5), (0.8)) AS x(a), (VALUES (0.1::DOUBLE), (0.3)) AS y(b), (VALUES (0.1::DOUBLE), (0.3)) AS z(g)),
+      fits AS (SELECT RouteCode, ItemCode, m, a, b, g, list_reduce(h[m + 1:], lambda s, v: {{'level': {new},
+          'slope': b * ({new} - s.level) + (1 - b) * s.slope,
+          'cyc': list_append(s.cyc[2:], CASE WHEN cyclic THEN g * (v - {new}) + (1 - g) * s.cyc[1] ELSE 0 END),
+          'sse': s.sse + {error} * {error}}},
+          {{'level': l0, 'slope': 0.0::DOUBLE, 'cyc': CASE WHEN cyclic THEN list_transform(h[:{season}], lambda x: x - l0) ELSE [0.0::DOUBLE] END,
+            'sse': 0.0::DOUBLE}}) AS f FROM h0, grid WHERE len(h) >= 4),
+      fit AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY RouteCode, ItemCode ORDER BY f.sse, a, b, g) = 1)""") + f"""
+      SELECT RouteCode, ItemCode, CAST(i AS INTEGER) AS step,
+        {sb.rint('greatest(CASE WHEN f IS NULL THEN list_avg(h) ELSE f.level + f.slope * i + f.cyc[(i - 1) % m + 1] END, 0)', 6)} AS prediction
+      FROM (SELECT RouteCode, ItemCode, h0.h, h0.m, f FROM h0 LEFT JOIN fit USING (RouteCode, ItemCode)), range(1, {steps + 1}) AS t(i)"""
+
+
 def _level_sql(model: str) -> str:
     return sb.with_(*_BASE) + f"SELECT RouteCode, ItemCode, {sb.rint(model, 6)} AS {model} FROM lv"
 
@@ -232,6 +251,7 @@ ORACLES = {
     "E4_croston": _level_sql("croston"),
     "E5_croston_sba": _level_sql("croston_sba"),
     "E6_ets": _level_sql("ets"),
+    "E6_ets_seasonal": _seasonal_sql(12, 6),
     "E12_residual_quantiles": sb.with_(*_VAL, _BEST, _STV, _RQ) + f"""SELECT class, band,
       {sb.rint('low_offset', 6)} AS low_offset, {sb.rint('high_offset', 6)} AS high_offset FROM rq""",
     "E12_quantile_intervals": sb.with_(*_TEST, _STV, _RQ) + f"""SELECT RouteCode, ItemCode, TrxDate, best_model,

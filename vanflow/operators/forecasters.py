@@ -120,30 +120,38 @@ def flat_forecast(
     return joined.select(*horizon.columns, F.inline(per_model))
 
 
-def _smoothed_forecast(y: np.ndarray, trend: bool, season: int, steps: int) -> np.ndarray:
-    """Additive Holt-Winters on a coarse parameter grid for one short series."""
-    grid = (0.1, 0.3, 0.5, 0.8)
-    options = itertools.product(grid, (0.1, 0.3) if trend else (0.0,), (0.1, 0.3) if season else (0.0,))
-    best, best_sse = None, np.inf
-    for a, b, g in options:
-        level, slope = (y[:season].mean() if season else y[0]), 0.0
-        cycle = list(y[:season] - level) if season else []
-        sse = 0.0
-        for t in range(season or 1, len(y)):
-            shape = cycle[t % season] if season else 0.0
-            error = y[t] - (level + slope + shape)
-            sse += error * error
-            previous = level
-            level = a * (y[t] - shape) + (1 - a) * (level + slope)
-            slope = b * (level - previous) + (1 - b) * slope if trend else 0.0
-            if season:
-                cycle[t % season] = g * (y[t] - level) + (1 - g) * shape
-        if sse < best_sse:
-            best_sse, best = sse, (level, slope, list(cycle))
-    level, slope, cycle = best
+def _smoothed_forecasts(series: list[np.ndarray], trend: bool, season: int, steps: int) -> np.ndarray:
+    """Additive Holt-Winters on a coarse parameter grid: one recursion over time for all series and grid points.
+
+    Arrays are (series, grid point); a series that has ended keeps its state.
+    """
+    options = itertools.product((0.1, 0.3, 0.5, 0.8), (0.1, 0.3) if trend else (0.0,), (0.1, 0.3) if season else (0.0,))
+    a, b, g = np.array(list(options)).T
+    n = np.array([len(y) for y in series])
+    values = np.zeros((len(series), n.max()))
+    for i, y in enumerate(series):
+        values[i, : n[i]] = y
+    shape = len(series), len(a)
+    first = values[:, :season].mean(axis=1) if season else values[:, 0]
+    level = np.repeat(first[:, None], len(a), axis=1)
+    slope, sse = np.zeros(shape), np.zeros(shape)
+    cycle = np.repeat((values[:, :season] - first[:, None]).T[:, :, None], len(a), axis=2) if season else np.zeros((1, *shape))
+    period = season or 1
+    for t in range(period, values.shape[1]):
+        live = (t < n)[:, None]
+        y, wave = values[:, t, None], cycle[t % period]
+        error = y - (level + slope + wave)
+        sse += np.where(live, error * error, 0.0)
+        new = a * (y - wave) + (1 - a) * (level + slope)
+        if trend:
+            slope = np.where(live, b * (new - level) + (1 - b) * slope, slope)
+        if season:
+            cycle[t % period] = np.where(live, g * (y - new) + (1 - g) * wave, wave)
+        level = np.where(live, new, level)
+    each, best = np.arange(len(series)), sse.argmin(axis=1)
     ahead = np.arange(1, steps + 1)
-    shape = np.array([cycle[(len(y) + i - 1) % season] for i in ahead]) if season else 0.0
-    return np.clip(level + slope * ahead + shape, 0.0, None)
+    wave = cycle[(n[:, None] + ahead - 1) % period, each[:, None], best[:, None]]
+    return np.clip(level[each, best][:, None] + slope[each, best][:, None] * ahead + wave, 0.0, None)
 
 
 def seasonal_smoothing(
@@ -151,28 +159,28 @@ def seasonal_smoothing(
 ) -> DataFrame:
     """Trend and seasonal smoothing per pair: (keys, step, prediction).
 
-    Pairs are independent and each holds at most its calendar's length, so
-    batches of ready-made histories are mapped without another shuffle.
+    Pairs with fewer than two seasons are smoothed without one, with fewer than
+    four points they get their mean. Pairs are independent and each holds at
+    most its calendar's length, so batches of ready-made histories are mapped
+    without another shuffle, all pairs of a batch in one recursion.
     """
     keys = list(cfg.group_keys)
     histories = pair_history(train, cfg)
 
     def forecast(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                y = np.asarray(row[len(keys)], dtype=float)
-                cyc = season if season and len(y) >= 2 * season else 0
-                if len(y) < 4:
-                    pred = np.full(steps, y.mean() if len(y) else 0.0)
-                else:
-                    pred = _smoothed_forecast(y, trend, cyc, steps)
-                part = pd.DataFrame({"step": np.arange(1, steps + 1), "prediction": pred})
-                for k, v in zip(keys, row[: len(keys)]):
-                    part[k] = v
-                out.append(part)
-            if out:
-                yield pd.concat(out)[[*keys, "step", "prediction"]]
+            series = [np.asarray(y, dtype=float) for y in pdf["history"]]
+            n = np.array([len(y) for y in series], dtype=int)
+            cyclic = (n >= 4) & (n >= 2 * season) if season else np.zeros(len(n), bool)
+            out = np.array([[y.mean() if len(y) else 0.0] * steps for y in series]).reshape(len(series), steps)
+            for chosen, period in ((cyclic, season), ((n >= 4) & ~cyclic, 0)):
+                at = np.flatnonzero(chosen)
+                if len(at):
+                    out[at] = _smoothed_forecasts([series[i] for i in at], trend, period, steps)
+            wide = pdf[keys].loc[pdf.index.repeat(steps)].reset_index(drop=True)
+            wide["step"] = np.tile(np.arange(1, steps + 1), len(series))
+            wide["prediction"] = out.ravel()
+            yield wide
 
     fields = ", ".join(f"{k} string" for k in keys)
     return histories.mapInPandas(forecast, f"{fields}, step int, prediction double")
