@@ -105,6 +105,15 @@ def test_seasonal_smoothing_follows_the_cycle(rows):
     np.testing.assert_allclose(pred, values[:7], atol=1.0)
 
 
+def test_a_batch_is_smoothed_like_each_series_alone():
+    draw = np.random.default_rng(3)
+    series = [draw.gamma(2.0, 5.0, n) * (draw.random(n) < 0.6) for n in (14, 15, 29, 60)]
+    for trend, season in ((True, 7), (False, 7), (True, 0), (False, 0)):
+        together = forecasters._smoothed_forecasts(series, trend, season, 9)
+        alone = np.vstack([forecasters._smoothed_forecasts([y], trend, season, 9) for y in series])
+        np.testing.assert_allclose(together, alone)
+
+
 def test_ensemble_weights_sum_to_one_and_skip_unusable_metrics(spark):
     metrics = spark.createDataFrame(
         [("smooth", "a", 2.0), ("smooth", "b", 4.0), ("smooth", "c", float("inf")), ("smooth", "d", None)],

@@ -284,3 +284,17 @@ def test_window_length_is_bounded(rows):
     hist = rows(bought("a", "A", [7] * 30), HIST)
     row = calibration.route_windows(hist, replace(CLAMPS, window_days=10)).first()
     assert (row.window_end - row.window_start).days == 60
+
+
+def test_a_hot_item_lies_in_many_priority_ranges(spark):
+    data = spark.range(4000).selectExpr(
+        "date'2024-06-30' AS TrxDate", "'1' AS RouteCode", "concat('c', lpad(id, 5, '0')) AS CustomerCode",
+        "if(id % 20 = 0, 'cold', 'hot') AS ItemCode", "2 AS RecommendedQuantity", "5001 AS VanLoad",
+        "cast(id % 3 AS double) AS PriorityScore", "'why' AS WhyQuantity")
+    sizes = allocate.priority_ranges(data, 16).groupBy("ItemCode", "_range").count().collect()
+    assert sum(r["ItemCode"] == "hot" for r in sizes) >= 12
+    assert max(r["count"] for r in sizes) <= 1000
+    out = allocate.allocate_van_load(data, 16).filter("ItemCode = 'hot'")
+    hot = sorted((-(n % 3), n) for n in range(4000) if n % 20)
+    want = {f"c{n:05d}": min(2, 5001 - 2 * i) for i, (_, n) in enumerate(hot) if 2 * i < 5001}
+    assert {r.CustomerCode: r.RecommendedQuantity for r in out.collect()} == want

@@ -151,3 +151,18 @@ def test_a_second_stop_does_not_multiply_items(rows):
     sales = rows([("r", "2024-01-01", "c1", "i1", 4.0)], "RouteCode string, TrxDate date, CustomerCode string, ItemCode string, TotalQuantity double")
     got = sv.apply_visits(items, visits, sales).collect()
     assert [(r.actual_qty, r.visit_sequence) for r in got] == [(4, 1)]
+
+
+def test_session_records_are_stored_by_customer_and_nested_on_request(spark, rows, tmp_path):
+    items = _items(rows)
+    held = st.session_records(sv.nest_customers(items), sv.customer_scores(items))
+    path = str(tmp_path / "records")
+    st.write_session_records(held, path)
+    st.write_session_records(held.withColumns({"route_code": F.lit("2"), "session_id": F.lit("t")}), path)
+    one = st.read_session_records(spark, path, route="1", date="2024-01-01")
+    assert {(r.session_id, r.customer_code) for r in one.collect()} == {("s", "c1"), ("s", "c2")}
+    assert st.read_session_records(spark, path).count() == 4
+    document = st.nest_records(one).first()
+    assert document.customers["c1"]["items"][0]["item_code"] == "A" and not document.customers["c2"]["visited"]
+    again = st.nest_sessions(sv.nest_customers(items), sv.customer_scores(items)).first()
+    assert document == again

@@ -16,6 +16,7 @@ from vanflow.catalog.helpers import rounded, shared
 from vanflow.operators import allocate
 from vanflow.operators import feedback as fb
 from vanflow.operators import supervision as sv
+from vanflow.operators.supervision import SESSION
 from vanflow.session import shared_dir
 from vanflow.sources import fixtures as fx
 from vanflow.sources import stores as st
@@ -83,6 +84,24 @@ def _stored_sessions(s, d):
     return st.read_sessions(s, path, frame.schema)
 
 
+def _stored_records(s, d):
+    """Every session's records stored, the days after the 15th written again with one unit more sold, and read back."""
+    path = folder(s, "session-records")
+    held = st.session_records(sv.nest_customers(items(s, d)), scores(s, d))
+    st.write_session_records(held, path)
+    later = held.filter(F.dayofmonth("date") > 15).withColumn("total_actual", F.col("total_actual") + 1)
+    st.write_session_records(later, path)
+    return rounded(st.read_session_records(s, path).select(
+        *SESSION, "customer_code", "visited", "score", "total_actual", F.size("items").alias("n_items")))
+
+
+def _rebuilt_records(s, d):
+    return rounded(st.rebuild_records(
+        st.session_customer_rows(scores(s, d)), st.session_item_rows(items(s, d))).select(
+        "session_id", "customer_code", "visit_sequence", "score", "coverage", "total_items", "total_actual",
+        F.size("items").alias("n_items")))
+
+
 def _route_rows(s, d):
     return st.session_route_rows(
         sv.session_summary(scores(s, d)), sv.route_scores(scores(s, d)),
@@ -160,6 +179,7 @@ QUERIES = {
         F.col("trend_factor").cast("double").alias("trend_factor"), "reason_status",
         "reason_explanation", "generated_by"),
     "A16_session_list": lambda s, d: st.list_sessions(_stored_sessions(s, d)),
+    "A16_session_records": _stored_records,
     "A17_session_route_rows": lambda s, d: _route_rows(s, d).drop("session_started_at"),
     "A17_session_customer_rows": lambda s, d: st.session_customer_rows(scores(s, d)),
     "A17_session_item_rows": lambda s, d: st.session_item_rows(items(s, d)).select(
@@ -168,6 +188,7 @@ QUERIES = {
     "A18_latest_sessions": lambda s, d: st.latest_sessions(_with_reruns(s, d)).select(
         "session_id", "route_code", "supervision_date", "total_qty_actual"),
     "A18_rebuilt_sessions": _rebuilt,
+    "A18_rebuilt_records": _rebuilt_records,
     "A19_session_window": _window,
     "A20_artifact_read": _artifact,
     "A21_generation_metrics": _metrics,
@@ -268,6 +289,10 @@ ORACLES = {
       ItemCode AS item_code, RecommendedQuantity AS recommended_quantity, PriorityScore AS priority_score, TrendFactor AS trend_factor,
       Source AS reason_status, WhyItem AS reason_explanation, 'API' AS generated_by FROM recs""",
     "A16_session_list": _O + "SELECT DISTINCT session_id, route_code, date FROM sitems",
+    "A16_session_records": _O + f"""SELECT session_id, route_code, date, customer_code, visited, {sb.rint('score', 6)} AS score,
+      total_actual + CASE WHEN day(date) > 15 THEN 1 ELSE 0 END AS total_actual, CAST(total_items AS INTEGER) AS n_items FROM cs""",
+    "A18_rebuilt_records": _O + f"""SELECT session_id, customer_code, visit_sequence, {sb.rint('score', 6)} AS score,
+      {sb.rint('coverage', 6)} AS coverage, total_items, total_actual, CAST(total_items AS INTEGER) AS n_items FROM cs WHERE visited""",
     "A17_session_route_rows": _O + "SELECT * FROM rrow",
     "A17_session_customer_rows": _O + f"""SELECT session_id, customer_code, visit_sequence, total_items AS total_skus_recommended,
       items_sold AS total_skus_sold, coverage AS sku_coverage_rate, total_recommended AS total_qty_recommended, total_actual AS total_qty_actual,

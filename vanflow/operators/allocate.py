@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vanflow.config import SPLITS
-from vanflow.functions.numeric import hot_split, py_round
+from vanflow.functions.numeric import py_round
 from vanflow.operators import explain as ex
 from vanflow.operators.calibration import classify_tier
+from vanflow.session import cut_lineage
 
 PAIR = ["RouteCode", "CustomerCode", "ItemCode"]
 
@@ -113,34 +115,53 @@ def shape_rows(
     )
 
 
-def allocate_van_load(rows: DataFrame, splits: int = SPLITS.hot_key_splits) -> DataFrame:
-    """Greedy allocation of van stock by priority, as prefix sums.
+ITEM = ["TrxDate", "RouteCode", "ItemCode"]
+
+
+def _by_priority() -> list[Column]:
+    return [F.desc("PriorityScore"), F.asc("CustomerCode")]
+
+
+def priority_ranges(rows: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Rows with the number of their range in the order of item, priority and customer.
+
+    Spark samples the rows for ranges of equal size, so that a hot item lies in
+    as many of them as its share of the rows asks for.
+    """
+    if ranges is None:
+        ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(rows.repartitionByRange(ranges, *ITEM, *_by_priority()).withColumn("_range", F.spark_partition_id()))
+
+
+def allocate_van_load(rows: DataFrame, splits: int | None = None) -> DataFrame:
+    """Greedy allocation of van stock by priority, as a prefix sum in two levels.
 
-    A row gets what the rows before it left over. Rows are first cut inside
-    sub-groups of a (route, item): whoever finds the van used up by its own
-    sub-group finds it used up overall, and since every row asks for at least
-    one unit, at most VanLoad rows per sub-group reach the final window.
+    A row gets what the rows before it left over. Each (item, range) is summed,
+    the few sums of an item are added up in order, and only ranges that begin
+    before the van is used up are summed row by row, each on its own.
+    `splits` is the number of ranges (the session's shuffle partitions if not given).
     """
-    item = ["TrxDate", "RouteCode", "ItemCode"]
-    order = [F.desc("PriorityScore"), F.asc("CustomerCode")]
     want = F.col("RecommendedQuantity")
+    each = [*ITEM, "_range"]
 
-    def used_before(keys):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("RecommendedQuantity").over(w), F.lit(0))
+    def before(keys, by, value):
+        w = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(w), F.lit(0))
 
+    placed = priority_ranges(rows.filter(want > 0), splits)
+    sums = placed.groupBy(*each).agg(F.sum(want).alias("_sum"))
+    starts = sums.select(
+        *[F.col(c).alias(f"_{c}") for c in each], before(ITEM, ["_range"], "_sum").alias("_start"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in each])
     cut = (
-        rows.filter(want > 0)
-        .withColumn("_split", hot_split("CustomerCode", splits))
-        .withColumn("_used", used_before([*item, "_split"]))
-        .filter(F.col("_used") < F.col("VanLoad"))
-        .drop("_split", "_used")
+        placed.join(starts, same).filter(F.col("_start") < F.col("VanLoad"))
+        .withColumn("_used", F.col("_start") + before(each, _by_priority(), "RecommendedQuantity"))
+        .drop("_start", "_range", *[f"_{c}" for c in each])
     )
     given = F.least(want, F.greatest(F.col("VanLoad") - F.col("_used"), F.lit(0))).cast("int")
     note = F.format_string(" [Van constrained: %d/%d]", F.col("_given"), want)
     return (
-        cut.withColumn("_used", used_before(item))
-        .withColumn("_given", given)
+        cut.withColumn("_given", given)
         .filter("_given > 0")
         .withColumn(
             "WhyQuantity",

@@ -165,21 +165,51 @@ def recommendation_result_rows(rows: DataFrame, generated_by: str = "API") -> Da
 # ---- supervision sessions -------------------------------------------------------------------
 
 
-def nest_sessions(customers: DataFrame, scores: DataFrame) -> DataFrame:
-    """One row per session with a map of customer code to its nested record."""
-    numbers = scores.select(
-        *CUSTOMER, "score", "coverage", "accuracy", "total_items", "items_sold",
-        "total_recommended", "total_actual",
-    )
-    record = F.struct(
-        "customer_name", "visited", "visit_sequence", "score", "coverage", "accuracy",
-        "total_items", "items_sold", "total_recommended", "total_actual", "items",
-    )
-    return customers.join(numbers, CUSTOMER).groupBy(*SESSION).agg(
+RECORD = (
+    "customer_name", "visited", "visit_sequence", "score", "coverage", "accuracy", "total_items", "items_sold",
+    "total_recommended", "total_actual", "items",
+)
+
+
+def session_records(customers: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row per (session, customer) with its figures and items: what is stored of a session."""
+    numbers = scores.select(*CUSTOMER, *RECORD[3:-1])
+    return customers.join(numbers, CUSTOMER).select(*CUSTOMER, *RECORD)
+
+
+def nest_records(records: DataFrame, keys: Sequence[str] = SESSION) -> DataFrame:
+    """Documents on request: one row per session with a map of customer code to record.
+
+    A document grows with its route, so ask for the sessions that are to be shown.
+    """
+    record = F.struct(*[c for c in records.columns if c not in (*CUSTOMER, *keys)])
+    return records.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("customer_code", record))).alias("customers")
     )
 
 
+def nest_sessions(customers: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row per session with a map of customer code to its nested record."""
+    return nest_records(session_records(customers, scores))
+
+
+def write_session_records(records: DataFrame, path: str) -> None:
+    """Records in one slice per route and day; rewriting a day replaces it whole."""
+    slices.replace(records.withColumns({"p_route": F.col("route_code"), "p_date": F.col("date")}), path, ["p_route", "p_date"])
+
+
+def read_session_records(
+    spark: SparkSession, path: str, route: str | None = None, date: str | None = None
+) -> DataFrame:
+    """Stored records, of one route or day only where given: other folders are not read."""
+    where = F.lit(True)
+    if route is not None:
+        where &= F.col("p_route") == route
+    if date is not None:
+        where &= F.col("p_date") == F.lit(date).cast("date")
+    return slices.read(spark, path, where=where).drop("p_route", "p_date")
+
+
 def write_sessions(sessions: DataFrame, path: str) -> None:
     """JSON documents, one folder per route and day; rewriting a day replaces it."""
     keyed = sessions.withColumns({"p_route": F.col("route_code"), "p_date": F.col("date")})
@@ -263,10 +293,8 @@ def latest_sessions(route_rows: DataFrame) -> DataFrame:
     return route_rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def rebuild_sessions(
-    route_rows: DataFrame, customer_rows: DataFrame, item_rows: DataFrame
-) -> DataFrame:
-    """Nested sessions from the three result tables.
+def rebuild_records(customer_rows: DataFrame, item_rows: DataFrame) -> DataFrame:
+    """One row per (session, customer) from the result tables.
 
     The original quantity is restored, so the adjustment is not counted twice.
     """
@@ -282,8 +310,8 @@ def rebuild_sessions(
     nested = item_rows.groupBy("session_id", "customer_code").agg(
         F.array_sort(F.collect_list(item)).alias("items")
     )
-    record = F.struct(
-        F.lit(True).alias("visited"), "visit_sequence",
+    return customer_rows.join(nested, ["session_id", "customer_code"], "left").select(
+        "session_id", "customer_code", F.lit(True).alias("visited"), "visit_sequence",
         F.col("customer_performance_score").alias("score"),
         F.col("sku_coverage_rate").alias("coverage"),
         F.col("qty_fulfillment_rate").alias("accuracy"),
@@ -292,9 +320,13 @@ def rebuild_sessions(
         F.col("total_qty_recommended").alias("total_recommended"),
         F.col("total_qty_actual").alias("total_actual"), "items",
     )
-    customers = customer_rows.join(nested, ["session_id", "customer_code"], "left").groupBy(
-        "session_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("customer_code", record))).alias("customers"))
+
+
+def rebuild_sessions(
+    route_rows: DataFrame, customer_rows: DataFrame, item_rows: DataFrame
+) -> DataFrame:
+    """Nested sessions from the three result tables, the latest of each route and day."""
+    customers = nest_records(rebuild_records(customer_rows, item_rows), ["session_id"])
     return latest_sessions(route_rows).join(customers, "session_id", "left")
 
 
