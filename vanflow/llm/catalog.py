@@ -82,6 +82,25 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, MAX(doc_id) OVER w AS keep_id, COUNT(*) OVER w AS group_size,
           doc_id = MAX(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op6_warc_sharded_writer": """WITH p AS (SELECT page_id, COALESCE(html, '') AS t, strlen(COALESCE(html, '')) AS n FROM pages),
+        f AS (SELECT *, MIN(page_id) OVER (PARTITION BY t) AS least FROM p)
+        SELECT page_id, n AS payload_bytes, sha256(t) AS payload_digest,
+          CASE WHEN n >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN n >= 100 AND page_id <> least THEN least END AS refers_to FROM f""",
+    "op9_seed_extend_substrings": r"""WITH d AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        starts AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d),
+        windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM starts),
+        again AS (SELECT doc_id, i FROM windows QUALIFY MIN(doc_id) OVER (PARTITION BY h) < doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM again),
+        lost AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id),
+        runs AS (SELECT doc_id, MIN(i) - 1 AS a, MAX(i) AS b FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM gone)
+          GROUP BY doc_id, r),
+        spans AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_spans FROM runs GROUP BY doc_id),
+        kept AS (SELECT doc_id, w, g, CASE WHEN g IS NULL THEN w
+          ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(g, x[2])), lambda x: x[1]) END AS k
+          FROM d LEFT JOIN lost USING (doc_id))
+        SELECT doc_id, len(w) AS n_words, len(w) - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256,
+          COALESCE(removed_spans, '') AS removed_spans FROM kept LEFT JOIN spans USING (doc_id)""",
 }
 
 
