@@ -298,3 +298,48 @@ def test_a_hot_item_lies_in_many_priority_ranges(spark):
     hot = sorted((-(n % 3), n) for n in range(4000) if n % 20)
     want = {f"c{n:05d}": min(2, 5001 - 2 * i) for i, (_, n) in enumerate(hot) if 2 * i < 5001}
     assert {r.CustomerCode: r.RecommendedQuantity for r in out.collect()} == want
+
+
+def _brute_nearest(a, b, k, floor, own):
+    want = []
+    for i in range(len(a)):
+        sims = [(-round(float(a[i] @ b[j]), 9), j) for j in range(len(b)) if j != own[i]]
+        want += [(i, j, -s) for s, j in sorted(sims)[:k] if -s > 0 and -s >= floor[i]]
+    return want
+
+
+@pytest.mark.parametrize("n_items,ties", [(3, True), (9, False), (4000, False)])
+def test_slices_of_a_tile_keep_the_nearest_and_the_lower_of_equals(n_items, ties):
+    """Many equal baskets, floors met exactly and a wide catalogue, over several slices of customers."""
+    rng = np.random.default_rng(n_items)
+
+    def side(n):
+        grid = np.zeros((n, n_items))
+        for row in grid:
+            picked = rng.choice(n_items, min(n_items, 3), replace=False)
+            row[picked] = 1.0 if ties else rng.random(len(picked))
+            row[picked[: rng.integers(0, 2)]] = 0.0
+        grid /= np.linalg.norm(grid, axis=1, keepdims=True)
+        rows, items = np.nonzero(grid)
+        return grid, pairs._Vectors(np.bincount(rows, minlength=n), items, grid[rows, items])
+
+    (a, left), (b, right) = side(11), side(60)
+    own = np.array([-1, 0, 7, 59, 13, 14, -1, 20, 27, 28, 41])
+    b[own[own >= 0]] = a[own >= 0]
+    rows, items = np.nonzero(b)
+    right = pairs._Vectors(np.bincount(rows, minlength=60), items, b[rows, items])
+    sims = np.round(np.sort(a @ b.T, axis=1), 9)
+    for floor in (np.zeros(11), sims[:, -6]):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(pairs, "_ROWS", 7)
+            got = pairs._nearest(left, right, n_items, 4, floor, own)
+        assert list(zip(*(x.tolist() for x in got))) == _brute_nearest(a, b, 4, floor, own)
+
+
+def test_tiles_of_a_large_route_grow(rows):
+    """A customer may meet every tile, so their number must not follow that of the customers."""
+    data = [("1", f"c{n:04d}", n % 40, 1.0) for n in range(1600)]
+    norms = rows(data, "route string, customer string, lead bigint, norm double")
+    tiled = pairs._similarity_tiles(norms, 10)
+    assert tiled.count() == 1600
+    assert tiled.select("tile").distinct().count() <= 40
