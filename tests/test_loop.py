@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -182,3 +183,47 @@ def test_unknown_codes_are_scrubbed(spark):
 def test_template_formats(spark):
     out = spark.range(1).select(pt.render("{a}: {b:.1f}%", {"a": F.lit("x"), "b": F.lit(2.25)})).first()[0]
     assert out == "x: 2.2%"
+
+
+def test_a_large_item_of_a_session_takes_time_in_proportion(spark, rows, tmp_path):
+    """10,000 holders of one item, all visited: every visit used to sort all that still wait."""
+    n = 10_000
+    plan = spark.range(n).selectExpr(
+        "'s' session_id", "'i' item_code", "'plan' kind", "lpad(id, 5, '0') customer_code", "10 quantity", "'CONSIDER' tier",
+        f"double({n} - id) priority_score", "0 visit_sequence", "timestamp'2024-01-01 00:00:00' ts")
+    visits = plan.selectExpr("session_id", "item_code", "'visit' kind", "customer_code", "0 quantity", "tier", "priority_score",
+                             "int(customer_code) + 1 visit_sequence", "timestamp'2024-01-01 00:00:01' ts")
+    path = str(tmp_path / "in")
+    plan.unionByName(visits).select(*T.StructType.fromDDL(live.SESSION_EVENT).names).write.parquet(path)
+    stream = live.live_session_state(live.read_files(spark, path, T.StructType.fromDDL(live.SESSION_EVENT)))
+    began = time.monotonic()
+    live.drain(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert time.monotonic() - began < 20
+    got = {r.customer_code: (r.adjustment, r.unsold) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # each visit leaves its units with the five that follow, at most five each: 10, then 15, 20, 25, 30, 35, 35 ...
+    left, want = [], {}
+    given = [0] * n
+    for i in range(n):
+        units = 10 + given[i]
+        left.append(units)
+        rest = units
+        for j in range(i + 1, min(i + 6, n)):
+            give = min(rest, 5)
+            given[j] += give
+            rest -= give
+    want = {f"{i:05d}": (given[i], left[i]) for i in range(n)}
+    assert got == want
+
+
+def test_attribution_moves_each_side_once(spark, rows):
+    """Recommended and sold lines meet by visit: one exchange a side."""
+    r = rows([("1", "2024-01-01", "c", i, 2, "history", 0.5) for i in ("A", "B", "", None)], REC)
+    s = rows([("1", "2024-01-01", "c", i, "s", True, q, q > 0) for i, q in (("A", 1), ("A", 2), ("", 5), (None, 7))], SES)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = fb.build_attribution(r, s)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert {(x.item_code, x.actual_qty, x.was_bought) for x in out.collect()} == {
+            ("A", 3, True), ("B", 0, False), ("", 0, False), (None, 0, False)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
