@@ -120,6 +120,20 @@ def test_session_documents_survive_storage_and_bad_files_do_not(spark, rows, tmp
     assert flat == {"c1": (True, "A", 4), "c2": (False, "", 0)}
 
 
+def test_a_stored_line_holds_one_customer(spark, rows, tmp_path):
+    """A session's document grows with its route: it is put together on reading."""
+    items = _items(rows)
+    records = st.session_records(sv.nest_customers(items), sv.customer_scores(items))
+    nested = st.nest_records(records)
+    for name, frame in (("records", records), ("nested", nested)):
+        path = str(tmp_path / name)
+        st.write_sessions(frame, path)
+        assert spark.read.text(path).count() == 2
+        back = st.read_sessions(spark, path, nested.schema)
+        assert back.schema.simpleString() == nested.schema.simpleString()
+        assert back.first().asDict(True) == nested.first().asDict(True)
+
+
 def test_rebuild_does_not_count_the_adjustment_twice(rows):
     items = _items(rows)
     scores = sv.customer_scores(items)
