@@ -64,3 +64,29 @@ def test_pipeline_removes_planted_near_copies(spark):
         same = [k for k, t in rows if k < key and len(plain(t) & plain(text)) >= 0.8 * len(plain(t) | plain(text))]
         assert not (same and key in kept), key
     assert {base * 100 for base in range(10)} <= kept
+
+
+def test_groups_given_besides_the_bands_are_compared(spark):
+    """A pair that shares no band is found where another operator names it, and only if it is similar."""
+    from vanflow.llm import near_copies
+
+    a = " ".join(f"w{i}" for i in range(60))
+    b = " ".join(f"w{i}" if i < 33 else f"x{i}" for i in range(60))
+    c = " ".join(f"y{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string")
+    also = spark.createDataFrame([(1, 7), (2, 7), (3, 7)], "doc_id long, group long")
+    found = lambda **more: {
+        r.doc_id: r.component_id for r in near_copies.near_copies(docs, similarity=0.3, **more).collect()}
+    assert found() == {1: 1, 2: 2, 3: 3}
+    assert found(also=also) == {1: 1, 2: 1, 3: 3}
+
+
+def test_the_stage_calls_the_covering_operator(spark, monkeypatch):
+    import corpus_pipeline
+    from vanflow.llm import covering
+
+    calls, plain = [], covering.near_duplicates
+    monkeypatch.setattr(covering, "near_duplicates", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a  b c d e f"), (3, "g")], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}
+    assert calls
