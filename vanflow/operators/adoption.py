@@ -33,7 +33,7 @@ def merge_adoption(recs: DataFrame, sales: DataFrame) -> DataFrame:
     )
     s = _keyed(
         sales, F.col("TotalQuantity").cast("double").alias("actual_qty"), F.lit(True).alias("_sold")
-    ).join(r.select(*KEYS[:3]), KEYS[:3], "left_semi")
+    ).join(r.select(*KEYS[:3]).distinct(), KEYS[:3], "left_semi")
     joined = r.join(s, KEYS, "full_outer").fillna(0.0, ["recommended_qty", "actual_qty"])
     rec, sold = F.col("_rec").isNotNull(), F.col("_sold").isNotNull()
     bought = F.col("actual_qty") > 0
