@@ -68,11 +68,16 @@ def left(text: Column, width: int) -> Column:
 
 
 def right(text: Column, width: int) -> Column:
-    return F.format_string(f"%{width}s", text)
+    """A number's text, padded; a formatter costs many times as much a cell."""
+    shown = F.coalesce(text, F.lit("null"))
+    return F.lpad(shown, F.greatest(F.length(shown), F.lit(width)), F.lit(" "))
 
 
 def rounded_text(value: Column, digits: int) -> Column:
-    return fixed(py_round(value, digits), digits)
+    """Half-even decimal text; zeros may be signed and, like other values a decimal cannot show, go through the formatter."""
+    number = py_round(value, digits)
+    plain = number.cast(f"decimal(18,{digits})").cast("string")
+    return F.when((number > 0) & (number < 1e15), plain).otherwise(fixed(number, digits))
 
 
 def name_cell(c: str, width: int) -> Column:
