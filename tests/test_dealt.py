@@ -6,7 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from vanflow.catalog import loop
+from vanflow.operators import feedback as fb
 from vanflow.operators import prompts as pt
+from vanflow.session import rows_in_place
 from vanflow.sources import fixtures as fx
 
 
@@ -48,3 +51,29 @@ def test_number_cells_equal_the_formatter(spark):
         assert df.filter(~new.eqNullSafe(old)).count() == 0
     texts = spark.createDataFrame([(None,), ("7",), ("1234567890",)], "t string")
     assert texts.filter(~pt.right(F.col("t"), 4).eqNullSafe(F.format_string("%4s", F.col("t")))).count() == 0
+
+
+def _moved_by(spark, sf, df):
+    """What the exchanges of a plan go by, where frames dealt by customer are run in place."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with rows_in_place(spark, fx._tasks(spark, sf)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
+
+
+def _same_rows(a, b):
+    assert a.columns == b.columns and a.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_attribution_of_dealt_sides_moves_no_line(spark, tmp_path):
+    sf = _tables(spark, tmp_path)
+    out = fb.build_attribution(loop.recs(spark, sf, fx.OF_CUSTOMER), loop.sessions(spark, sf, fx.OF_CUSTOMER), dealt=True)
+    assert not [by for by in _moved_by(spark, sf, out) if "route_code#" in by]
+    plain = fb.build_attribution(loop.recs(spark, sf), loop.sessions(spark, sf))
+    _same_rows(fx.cut_in_place(spark, sf, out), plain)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
