@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from vanflow.catalog import loop
+from vanflow.operators import adoption as ad
 from vanflow.operators import feedback as fb
 from vanflow.operators import prompts as pt
 from vanflow.session import rows_in_place
@@ -77,3 +78,10 @@ def test_attribution_of_dealt_sides_moves_no_line(spark, tmp_path):
     _same_rows(fx.cut_in_place(spark, sf, out), plain)
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
     assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
+def test_adoption_of_dealt_sides_moves_sold_lines_once(spark, tmp_path):
+    sf = _tables(spark, tmp_path)
+    out = ad.merge_adoption(loop.recs(spark, sf, fx.OF_CUSTOMER), fx.visit_sales(spark, sf, fx.OF_CUSTOMER), dealt=True)
+    assert not [by for by in _moved_by(spark, sf, out) if "route_code#" in by or "trx_date#" in by]
+    _same_rows(fx.cut_in_place(spark, sf, out), ad.merge_adoption(loop.recs(spark, sf), fx.visit_sales(spark, sf)))

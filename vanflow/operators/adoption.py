@@ -13,26 +13,29 @@ from vanflow.operators.scoring import array_total
 KEYS = ["trx_date", "route_code", "customer_code", "item_code"]
 
 
-def _keyed(df: DataFrame, *more: Column) -> DataFrame:
+def _keyed(df: DataFrame, dealt: bool, *more: Column) -> DataFrame:
+    code = F.col if dealt else clean_code
     return df.select(
-        F.to_date("TrxDate").alias("trx_date"), clean_code("RouteCode").alias("route_code"),
-        clean_code("CustomerCode").alias("customer_code"), clean_code("ItemCode").alias("item_code"),
+        F.to_date("TrxDate").alias("trx_date"), code("RouteCode").alias("route_code"),
+        code("CustomerCode").alias("customer_code"), clean_code("ItemCode").alias("item_code"),
         *more,
     )
 
 
-def merge_adoption(recs: DataFrame, sales: DataFrame) -> DataFrame:
+def merge_adoption(recs: DataFrame, sales: DataFrame, dealt: bool = False) -> DataFrame:
     """Recommended and sold lines of recommended visits, side by side.
 
     A line is adopted (recommended and sold), over-recommended (recommended
     only) or missed (sold without a recommendation on a recommended visit).
+    Sides that are `dealt` alike by customer, their route and customer codes
+    trimmed, meet where they lie.
     """
     r = _keyed(
-        recs, F.col("RecommendedQuantity").cast("double").alias("recommended_qty"),
+        recs, dealt, F.col("RecommendedQuantity").cast("double").alias("recommended_qty"),
         F.col("Tier").alias("tier"), F.lit(True).alias("_rec"),
     )
     s = _keyed(
-        sales, F.col("TotalQuantity").cast("double").alias("actual_qty"), F.lit(True).alias("_sold")
+        sales, dealt, F.col("TotalQuantity").cast("double").alias("actual_qty"), F.lit(True).alias("_sold")
     ).join(r.select(*KEYS[:3]).distinct(), KEYS[:3], "left_semi")
     joined = r.join(s, KEYS, "full_outer").fillna(0.0, ["recommended_qty", "actual_qty"])
     rec, sold = F.col("_rec").isNotNull(), F.col("_sold").isNotNull()
