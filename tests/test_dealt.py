@@ -7,9 +7,11 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from vanflow.catalog import loop
+from vanflow.catalog import supervise as sp
 from vanflow.operators import adoption as ad
 from vanflow.operators import feedback as fb
 from vanflow.operators import prompts as pt
+from vanflow.operators import supervision as sv
 from vanflow.session import rows_in_place
 from vanflow.sources import fixtures as fx
 
@@ -85,3 +87,18 @@ def test_adoption_of_dealt_sides_moves_sold_lines_once(spark, tmp_path):
     out = ad.merge_adoption(loop.recs(spark, sf, fx.OF_CUSTOMER), fx.visit_sales(spark, sf, fx.OF_CUSTOMER), dealt=True)
     assert not [by for by in _moved_by(spark, sf, out) if "route_code#" in by or "trx_date#" in by]
     _same_rows(fx.cut_in_place(spark, sf, out), ad.merge_adoption(loop.recs(spark, sf), fx.visit_sales(spark, sf)))
+
+
+def test_visits_are_applied_where_the_items_lie(spark, tmp_path):
+    sf = _tables(spark, tmp_path)
+    by = fx.OF_CUSTOMER
+    out = sv.apply_visits(sp.opened(spark, sf, by), sp.visits(spark, sf, by), fx.visit_sales(spark, sf, by))
+    assert not [e for e in _moved_by(spark, sf, out) if "item_code#" in e.lower() or "route_code#" in e]
+    plain = sv.apply_visits(sp.opened(spark, sf), sp.visits(spark, sf), fx.visit_sales(spark, sf))
+    _same_rows(fx.cut_in_place(spark, sf, out), plain)
+
+
+def test_few_unsold_lines_are_sent_to_the_items(spark, tmp_path):
+    sf = _tables(spark, tmp_path)
+    plan = sp._redistributed(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
