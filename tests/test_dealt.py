@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vanflow.catalog import loop
 from vanflow.catalog import supervise as sp
+from vanflow.catalog import texts
 from vanflow.operators import adoption as ad
 from vanflow.operators import feedback as fb
 from vanflow.operators import prompts as pt
@@ -102,3 +103,8 @@ def test_few_unsold_lines_are_sent_to_the_items(spark, tmp_path):
     sf = _tables(spark, tmp_path)
     plan = sp._redistributed(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_sessions_are_read_once_for_all_answer_layouts(spark, tmp_path):
+    plan = texts._all_parsed(spark, _tables(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "customer.parquet" not in plan and "ShuffledHashJoin" not in plan  # only the stored base is read

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vanflow.catalog import loop
 from vanflow.catalog import sqlbase as sb
 from vanflow.catalog import supervise as sp
+from vanflow.catalog.helpers import shared
 from vanflow.operators import prompts as pt
 from vanflow.operators import supervision as sv
 
@@ -19,10 +20,15 @@ def recs(s, d):
         "ItemName", F.concat(F.col("ItemName"), F.lit(' 6" Chef\'s\nchoice biscuit')))
 
 
+def _stops(s, d):
+    """Lines per stop, counted by hash: the largest code of a session is then sought among stops, as texts are compared by sorting."""
+    return loop.sessions(s, d).groupBy("session_id", "route_code", "date", "customer_code").agg(F.count(F.lit(1)).alias("n"))
+
+
 def answers(s, d):
     """One model answer per session: plain, fenced, partial or broken by day."""
-    base = loop.sessions(s, d).groupBy("session_id", "route_code", "date").agg(
-        F.max("customer_code").alias("c"), F.count(F.lit(1)).alias("n"))
+    base = _stops(s, d).groupBy("session_id", "route_code", "date").agg(
+        F.max("customer_code").alias("c"), F.sum("n").alias("n"))
     body = F.concat(
         F.lit('{"route_summary": "Customer-'), "c", F.lit(' led, Customer-999999 lagged", "critical_issues": ["'),
         F.col("n").cast("string"), F.lit(' lines"]}'))
@@ -44,7 +50,8 @@ def _parsed(s, d):
 
 def _all_answers(s, d):
     """The answers of every layout: each field filled, fenced, only the first field, or no JSON, by day."""
-    base = loop.sessions(s, d).groupBy("session_id", "date").agg(F.max("customer_code").alias("c"))
+    base = shared("answer-sessions", s, d, lambda: _stops(s, d).groupBy("session_id", "date").agg(
+        F.max("customer_code").alias("c")))  # one reading of the sessions for all layouts
     day = F.dayofmonth("date") % 4
     rows = []
     for kind, fields in pt.ANSWERS.items():
