@@ -15,6 +15,7 @@ from vanflow.operators import prompts as pt
 from vanflow.operators import supervision as sv
 from vanflow.session import rows_in_place
 from vanflow.sources import fixtures as fx
+from vanflow.sources import stores as st
 
 
 def _tables(spark, folder):
@@ -108,3 +109,14 @@ def test_few_unsold_lines_are_sent_to_the_items(spark, tmp_path):
 def test_sessions_are_read_once_for_all_answer_layouts(spark, tmp_path):
     plan = texts._all_parsed(spark, _tables(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "customer.parquet" not in plan and "ShuffledHashJoin" not in plan  # only the stored base is read
+
+
+def test_records_are_rebuilt_where_the_items_lie(spark, tmp_path):
+    sf = _tables(spark, tmp_path)
+    parts = lambda by: (
+        st.session_customer_rows(sp.scores(spark, sf)), st.session_item_rows(sp.items(spark, sf, by)))
+    out = st.rebuild_records(*parts(fx.OF_CUSTOMER))
+    assert not [e for e in _moved_by(spark, sf, out) if "session_id#" in e]
+    with rows_in_place(spark, fx._tasks(spark, sf)):
+        rows = out.localCheckpoint()
+    _same_rows(rows, st.rebuild_records(*parts(fx.OF_ROUTE)))
