@@ -111,6 +111,15 @@ def test_sessions_are_read_once_for_all_answer_layouts(spark, tmp_path):
     assert "customer.parquet" not in plan and "ShuffledHashJoin" not in plan  # only the stored base is read
 
 
+def test_customer_prompts_are_made_where_the_lines_lie(spark, tmp_path):
+    sf = _tables(spark, tmp_path)
+    parts = lambda by: (
+        sp.scores(spark, sf), pt.customer_history(texts.recs(spark, sf, by)), pt.current_visit(loop.sessions(spark, sf, by)))
+    moved = _moved_by(spark, sf, pt.customer_prompts(*parts(fx.OF_CUSTOMER)))
+    assert not [e for e in moved if "date#" in e.lower() or "session_id#" in e]
+    _same_rows(texts._customer_prompts(spark, sf), pt.customer_prompts(*parts(fx.OF_ROUTE)))
+
+
 def test_records_are_rebuilt_where_the_items_lie(spark, tmp_path):
     sf = _tables(spark, tmp_path)
     parts = lambda by: (

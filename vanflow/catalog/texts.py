@@ -12,11 +12,12 @@ from vanflow.catalog import supervise as sp
 from vanflow.catalog.helpers import shared
 from vanflow.operators import prompts as pt
 from vanflow.operators import supervision as sv
+from vanflow.sources import fixtures as fx
 
 
-def recs(s, d):
+def recs(s, d, by=fx.OF_ROUTE):
     """Recommendations whose names carry quotes, apostrophes and breaks."""
-    return loop.recs(s, d).withColumn(
+    return loop.recs(s, d, by).withColumn(
         "ItemName", F.concat(F.col("ItemName"), F.lit(' 6" Chef\'s\nchoice biscuit')))
 
 
@@ -85,6 +86,14 @@ def _scrubbed(s, d):
     return pt.scrub_codes(answers(s, d), known, ["session_id"], "answer")
 
 
+def _customer_prompts(s, d):
+    """A customer's two tables are made and joined where the customer's lines lie."""
+    by = fx.OF_CUSTOMER
+    return shared("customer-prompts", s, d, lambda: pt.customer_prompts(
+        sp.scores(s, d), pt.customer_history(recs(s, d, by)), pt.current_visit(loop.sessions(s, d, by))),
+        lambda df: fx.cut_in_place(s, d, df))
+
+
 QUERIES = {
     "P1_customer_history": lambda s, d: pt.customer_history(recs(s, d)),
     "P2_current_visit": lambda s, d: pt.current_visit(loop.sessions(s, d)),
@@ -94,8 +103,7 @@ QUERIES = {
     "P6_pre_visit_facts": lambda s, d: pt.pre_visit_facts(loop.recs(s, d)),
     "P7_route_prompts": lambda s, d: pt.route_prompts(
         sv.session_summary(sp.scores(s, d)), pt.route_performance(sp.scores(s, d))),
-    "P7_customer_prompts": lambda s, d: pt.customer_prompts(
-        sp.scores(s, d), pt.customer_history(recs(s, d)), pt.current_visit(loop.sessions(s, d))),
+    "P7_customer_prompts": _customer_prompts,
     "P7_planning_prompts": lambda s, d: pt.planning_prompts(recs(s, d)),
     "P7_pre_visit_prompts": lambda s, d: pt.pre_visit_prompts(loop.recs(s, d)),
     "P8_parsed_answers": _parsed,
