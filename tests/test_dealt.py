@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vanflow.catalog import loop
 from vanflow.catalog import supervise as sp
 from vanflow.catalog import texts
+from vanflow.functions.text import prompt_safe
 from vanflow.operators import adoption as ad
 from vanflow.operators import feedback as fb
 from vanflow.operators import prompts as pt
@@ -129,3 +130,13 @@ def test_records_are_rebuilt_where_the_items_lie(spark, tmp_path):
     with rows_in_place(spark, fx._tasks(spark, sf)):
         rows = out.localCheckpoint()
     _same_rows(rows, st.rebuild_records(*parts(fx.OF_ROUTE)))
+
+
+def test_name_cells_equal_the_formatter(spark):
+    names = spark.createDataFrame([(None,), ("",), ("seven",), ("é—ü", ), ("exactly 9",), ("more than nine",)], "t string")
+    old = F.format_string("%-9s", F.col("t"))
+    assert names.filter(~pt.left(F.col("t"), 9).eqNullSafe(old)).count() == 0
+    plan = names.select(pt.name_cell("t", 9))._jdf.queryExecution().executedPlan().toString()
+    assert "format_string" not in plan and "translate" not in plan
+    broken = spark.createDataFrame([('5" Chef\'s\nbest\r\n',)], "t string")
+    assert broken.select(prompt_safe(F.col("t"))).first()[0] == "5inch Chefs best  "

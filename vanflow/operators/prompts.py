@@ -64,7 +64,9 @@ PRE_VISIT_TEMPLATE = (
 
 
 def left(text: Column, width: int) -> Column:
-    return F.format_string(f"%-{width}s", text)
+    """A text, padded behind, without a formatter as in `right`."""
+    shown = F.coalesce(text, F.lit("null"))
+    return F.rpad(shown, F.greatest(F.length(shown), F.lit(width)), F.lit(" "))
 
 
 def right(text: Column, width: int) -> Column:
