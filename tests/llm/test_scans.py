@@ -151,6 +151,26 @@ def test_packing_places_every_token_once(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_packing_looks_a_word_up_once_a_group():
+    class Counted(dict):
+        looked = 0
+
+        def __getitem__(self, word):
+            Counted.looked += 1
+            return super().__getitem__(word)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["Éa b, b.\n" * 500, "", "<|endoftext|> \tb"]
+    packing._LOADED[path] = (tokenizer, Counted(), {})
+    try:
+        got = packing.encode(texts, path)
+    finally:
+        del packing._LOADED[path]
+    assert got == [b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert Counted.looked < 100  # 1503 words
+
+
 def test_packing_respects_all_limits(spark):
     rows = [(i, "word " * (5 + i % 40), [[0, 3]] if i % 2 else [[2, 30]]) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, loss array<array<int>>")

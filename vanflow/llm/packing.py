@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,21 +46,24 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     punctuation before it merges, so a text's ids are its words' ids in order,
     and a word's ids those of its body and of one final stop or comma. Every
     distinct body is encoded once per worker. ASCII case is folded ahead,
-    except in texts that may hold a special token's name.
+    except in texts that may hold a special token's name. Words are told apart
+    and their ids gathered by whole arrays, not word by word.
     """
     if path not in _LOADED:
         _LOADED[path] = (Tokenizer.from_file(path), {}, {})
     tokenizer, cache, before = _LOADED[path]
-    split = []
+    folded = []
     for text in texts:
         if "<|" not in text:
             text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-    words = set().union(*split)
-    missing = words.difference(cache)
+        folded.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " "))
+    split = pc.split_pattern(pa.array(folded, pa.large_string()), " ")
+    coded = split.flatten().dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    missing = {word for word in names if word not in cache}
     if len(cache) + len(missing) > CACHE:
         # Words not seen since the last turn are forgotten.
-        before, cache, missing = cache, {}, words
+        before, cache, missing = cache, {}, set(names)
         _LOADED[path] = (tokenizer, cache, before)
     for word in missing.intersection(before):
         cache[word] = before[word]
@@ -71,7 +76,16 @@ def encode(texts: list[str], path: str) -> list[bytes]:
             cache[word] = array("I", encoded.ids).tobytes()
     for word in ended:
         cache[word] = cache[word[:-1]] + cache[word[-1]]
-    return [b"".join(map(cache.__getitem__, words)) for words in split]
+    # The texts' ids are gathered from those of the distinct words: word by word from `first` on, `size` ids each.
+    known = [cache[name] for name in names]
+    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    first = np.cumsum(size) - size
+    places = coded.indices.to_numpy()
+    taken = size[places]
+    ends = np.concatenate(([0], np.cumsum(taken)))
+    ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(first[places] - ends[:-1], taken) + np.arange(ends[-1])].tobytes()
+    cuts = (4 * ends[split.offsets.to_numpy()]).tolist()
+    return [ids[low:high] for low, high in zip(cuts, cuts[1:])]
 
 
 class Packer:
