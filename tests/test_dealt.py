@@ -140,3 +140,10 @@ def test_name_cells_equal_the_formatter(spark):
     assert "format_string" not in plan and "translate" not in plan
     broken = spark.createDataFrame([('5" Chef\'s\nbest\r\n',)], "t string")
     assert broken.select(prompt_safe(F.col("t"))).first()[0] == "5inch Chefs best  "
+
+
+def test_sales_are_grouped_where_their_customer_lies(spark, tmp_path):
+    sf = _tables(spark, tmp_path)
+    sales = fx.customer_data(spark, sf)
+    assert sales.count() == 16
+    assert not [by for by in _moved_by(spark, sf, sales) if "TrxDate" in by]
