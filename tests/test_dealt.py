@@ -147,3 +147,20 @@ def test_sales_are_grouped_where_their_customer_lies(spark, tmp_path):
     sales = fx.customer_data(spark, sf)
     assert sales.count() == 16
     assert not [by for by in _moved_by(spark, sf, sales) if "TrxDate" in by]
+
+
+def test_days_written_again_are_read_from_the_store(spark, tmp_path, monkeypatch):
+    sf = _tables(spark, tmp_path)
+    plans, write = [], st.write_session_records
+
+    def watched(records, *args, **kw):
+        plans.append(records._jdf.queryExecution().executedPlan().toString())
+        write(records, *args, **kw)
+
+    monkeypatch.setattr(st, "write_session_records", watched)
+    got = sp._stored_records(spark, sf)
+    assert len(plans) == 2 and "Join" in plans[0] and "Join" not in plans[1] and "Exchange" not in plans[1]
+    once = st.session_records(sv.nest_customers(sp.items(spark, sf)), sp.scores(spark, sf))
+    more = F.when(F.dayofmonth("date") > 15, 1).otherwise(0)
+    _same_rows(got.select("session_id", "customer_code", "total_actual", "n_items"), once.select(
+        "session_id", "customer_code", (F.col("total_actual") + more).alias("total_actual"), F.size("items").alias("n_items")))

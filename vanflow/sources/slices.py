@@ -70,18 +70,20 @@ def _switch(manifest: DataFrame, path: str, number: int) -> None:
     manifest.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(_manifest(path, number))
 
 
-def replace(df: DataFrame, path: str, by: Sequence[str] = (), whole: bool = False) -> None:
+def replace(df: DataFrame, path: str, by: Sequence[str] = (), whole: bool = False, in_place: bool = False) -> None:
     """Replace the slices that the frame touches, or the whole store.
 
     Slices are the distinct values of the `by` columns; null and empty text are
     one slice, as in any partitioned folder. A frame without rows touches nothing (with `whole` it
-    empties the store). Without `by` the store is a single slice.
+    empties the store). Without `by` the store is a single slice. Rows that lie by slice already, as those
+    read from a store do, need not be dealt again: they are written `in_place`.
     """
     spark = df.sparkSession
     done, number = manifests(spark, path)
     target = f"{path}/data/{VERSION}={number:012d}-{uuid.uuid4().hex}"
     if by:
-        df.hint("rebalance", *[F.col(c) for c in by]).write.partitionBy(*by).parquet(target)
+        dealt = df if in_place else df.hint("rebalance", *[F.col(c) for c in by])
+        dealt.write.partitionBy(*by).parquet(target)
     else:
         df.write.parquet(target)
     fresh = _written(spark, target, df.schema, by)
