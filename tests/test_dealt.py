@@ -7,12 +7,14 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from vanflow.catalog import loop
+from vanflow.catalog import scoring as sc
 from vanflow.catalog import supervise as sp
 from vanflow.catalog import texts
 from vanflow.functions.text import prompt_safe
 from vanflow.operators import adoption as ad
 from vanflow.operators import feedback as fb
 from vanflow.operators import prompts as pt
+from vanflow.operators import scoring as sg
 from vanflow.operators import supervision as sv
 from vanflow.session import rows_in_place
 from vanflow.sources import fixtures as fx
@@ -149,6 +151,15 @@ def test_sales_are_grouped_where_their_customer_lies(spark, tmp_path):
     assert not [by for by in _moved_by(spark, sf, sales) if "TrxDate" in by]
 
 
+def test_scores_are_made_where_a_customer_lies(spark, tmp_path, monkeypatch):
+    sf = _tables(spark, tmp_path)
+    moved, cut = [], fx.cut_dealt
+    monkeypatch.setattr(fx, "cut_dealt", lambda df, tasks: moved.extend(_moved_by(spark, sf, df)) or cut(df, tasks))
+    got = sc.scored(spark, sf)
+    assert moved and not [by for by in moved if "ItemCode" in by or "TrxDate" in by]
+    _same_rows(got, sg.score_pairs(sc.hist(spark, sf), sc.calibrated(spark, sf), fx.TARGET, sc.CLAMPS))
+
+
 def test_days_written_again_are_read_from_the_store(spark, tmp_path, monkeypatch):
     sf = _tables(spark, tmp_path)
     plans, write = [], st.write_session_records

@@ -31,8 +31,11 @@ def calibrated(s, d, route="region", item="type"):
 
 
 def scored(s, d):
+    """Pairs, visits and scores of a customer are made where the customer's lines lie: only those move, once."""
+    h = hist(s, d)
+    tasks = fx.tasks_of(h)
     return shared("scored", s, d, lambda: sg.score_pairs(
-        hist(s, d), calibrated(s, d), fx.TARGET, CLAMPS))
+        h.repartition(tasks, "CustomerCode"), calibrated(s, d), fx.TARGET, CLAMPS), lambda df: fx.cut_dealt(df, tasks))
 
 
 def event_history(s, d):
