@@ -70,3 +70,23 @@ def test_spaced_seeds_find_substituted_passages_only(spark):
     assert spaced_seeds.contaminated_pairs(docs, items.limit(0)).count() == 0
     plan = spaced_seeds.contaminated_pairs(docs, items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_seeds_pass_a_filter_and_words_do_not_travel(spark, monkeypatch):
+    """Few seeds and many give the same pairs, and no broadcast or join of seeds carries the words of an item or document."""
+    rng = random.Random(9)
+    bench = [(n, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(5, 40)))) for n in range(120)]
+    bench += [(500, bench[3][1]), (None, bench[4][1]), (3, bench[3][1]), (7, bench[8][1])]
+    rows = [(n, " ".join(["a b c", bench[n][1], "d e", bench[(n * 7) % 120][1]])) for n in range(60)]
+    rows += [(None, bench[5][1]), (1, bench[9][1]), (1, rows[1][1]), (900, None), (901, "nothing of it at all but some words")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    seen, hits = [], spaced_seeds._hits
+    monkeypatch.setattr(spaced_seeds, "_hits", lambda texts, seeds: seen.append(hits(texts, seeds)) or seen[-1])
+    want = sorted(map(repr, spaced_seeds.contaminated_pairs(docs, items).collect()))
+    monkeypatch.setattr(spaced_seeds, "MAX_SEED_ROWS", 10)
+    monkeypatch.setattr(spaced_seeds, "MAX_HELD_ROWS", 2)
+    assert sorted(map(repr, spaced_seeds.contaminated_pairs(docs, items).collect())) == want and len(want) > 100
+    for found in seen:
+        assert {t for _, t in found.dtypes} == {"bigint", "int"}
+    passed = spaced_seeds.passing(spark.range(100_000).selectExpr("xxhash64(id) AS seed"), spark.range(20_000).selectExpr("xxhash64(id) AS seed"), 20_000)
+    assert 20_000 <= passed.count() < 20_800
