@@ -90,3 +90,22 @@ def test_the_stage_calls_the_covering_operator(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a  b c d e f"), (3, "g")], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}
     assert calls
+
+
+def test_bands_miss_no_pair_sooner_than_hashes_collide(spark):
+    """At the threshold no pair is left out by chance, and even pairs far below it are all named as candidates."""
+    assert (1 - near_copies.SIMILARITY ** near_copies.ROWS) ** near_copies.BANDS < 2.0**-64
+    rng, rows = random.Random(11), []
+    for n in range(80):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(100)]
+        other = [w if i % 20 else f"x{n}" for i, w in enumerate(words)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, similarity=0.6).collect()}
+    assert found == {key: key - key % 2 for key, _ in rows}
+
+
+def test_wordless_texts_in_a_given_group_equal_no_text(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (3, "b c"), (4, " ")], "doc_id long, text string")
+    also = spark.createDataFrame([(n, 7) for n in range(1, 5)], "doc_id long, group long")
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs, also=also).collect()} == {1: 1, 2: 2, 3: 3, 4: 2}
