@@ -110,3 +110,26 @@ def test_quantile_bounds_cover_the_test_rows(spark):
     shares = learned.QUERIES["E12_quantile_coverage"](spark, "/root/testdata/sf0.01").collect()
     total = sum(r.rows for r in shares)
     assert total > 500 and abs(sum(r.inside * r.rows for r in shares) / total - 0.8) < 0.03
+
+
+def test_fits_and_trials_see_every_labelled_row(spark, monkeypatch):
+    """No labelled row of a class is left out of a fit or a trial, however many there are."""
+    made = spark.range(120_000).selectExpr(
+        "'r' AS RouteCode", "CAST(id AS string) AS ItemCode", "DATE'2001-01-01' + CAST(id % 12 AS int) AS TrxDate",
+        "IF(id % 6 = 5, NULL, CAST(id % 7 AS double)) AS TotalQuantity", "CAST(id % 7 AS double) AS x", "'c' AS group", "false AS held")
+    bins = trees.Binning(("x",), ((0.5, 1.5, 2.5),))
+    assert mlmodels.tree_rows(made, learned.CFG, bins).count() == 100_000
+    seen = []
+    monkeypatch.setattr(trees, "run_jobs", lambda data, jobs, b: seen.append(data.count()) or {})
+    mlmodels.random_search([("c", "random_forest")], made, learned.CFG, bins, trials=1)
+    assert seen == [100_000]
+
+
+def test_histograms_of_many_rows_equal_those_of_few(monkeypatch):
+    bins, codes, y = signal(700)
+    for p in (trees.TreeParams(rounds=4, forest=True, depth=6), trees.TreeParams(rounds=4, step=0.3, leaves=9, rows=0.8, features=0.7)):
+        a, _, _ = trees.fit(codes, y, p, bins.zero)
+        monkeypatch.setattr(trees, "WIDE", 10)
+        b, _, _ = trees.fit(codes, y, p, bins.zero)
+        monkeypatch.undo()
+        assert (a.predict(codes) == b.predict(codes)).all()

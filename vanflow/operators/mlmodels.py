@@ -52,7 +52,6 @@ BOOSTED = ("gradient_boosting", "leafwise_trees", "depthwise_trees")
 TREES = ("random_forest", *BOOSTED)
 QUANTILE = "quantile_trees"
 KEEP_MISSING = ("leafwise_trees", "depthwise_trees", "quantile_trees")
-SEARCH_ROWS = 1_000  # labelled rows a class's trials see at most
 SEARCH_PATIENCE = 20  # rounds after which a trial's fold ends if they brought nothing
 FOREST_PART = 25  # trees of a forest that one task grows
 
@@ -103,10 +102,10 @@ def tree_params(name: str, settings: MLSettings, cfg: DemandConfig, **more) -> t
     return tr.TreeParams(**{**given, "forest": name == "random_forest", "keep_missing": name in KEEP_MISSING, "seed": cfg.seed, **more})
 
 
-def tree_rows(data: DataFrame, cfg: DemandConfig, bins: tr.Binning, most: int = tr.FIT_ROWS) -> DataFrame:
-    """Labelled rows for `trees.run_jobs`; `data` has group and held. Written once, as several jobs read them."""
+def tree_rows(data: DataFrame, cfg: DemandConfig, bins: tr.Binning) -> DataFrame:
+    """All labelled rows for `trees.run_jobs`; `data` has group and held. Written once, as several jobs read them."""
     y = F.col(cfg.target_col).cast("double")
-    labelled = tr.sampled(data.filter(y.isNotNull()), [*cfg.group_keys, cfg.date_col], most)
+    labelled = data.filter(y.isNotNull())
     day = F.unix_date(F.col(cfg.date_col).cast("date"))
     return cut_lineage(labelled.select("group", y.alias("y"), "held", day.alias("day"), tr.coded(bins).alias("codes")))
 
@@ -284,13 +283,13 @@ def _draw(space: dict, rng: random.Random) -> dict:
 
 def random_search(
     names: Sequence[tuple[str, str]], data: DataFrame, cfg: DemandConfig, bins: tr.Binning,
-    settings: MLSettings = MLSettings(), trials: int | None = None, rows: int = SEARCH_ROWS,
+    settings: MLSettings = MLSettings(), trials: int | None = None,
 ) -> tuple[dict[tuple[str, str], MLSettings], list[dict]]:
     """Seeded random search on expanding temporal folds for (group, model) pairs; best parameters by pair.
 
-    Every trial is a task of its own that fits all folds on at most about
-    `rows` labelled rows of its group; boosting and forests end a fold with
-    patience, so the best trial of a boosted model also names its rounds.
+    Every trial is a task of its own that fits all folds on all labelled rows
+    of its group; boosting and forests end a fold with patience, so the best
+    trial of a boosted model also names its rounds.
     """
     groups = sorted({g for g, _ in names})
     cutoffs = {}
@@ -307,7 +306,7 @@ def random_search(
             p = tree_params(name, settings.override(name, **params), cfg, patience=SEARCH_PATIENCE)
             if cutoffs[group]:
                 jobs.append(tr.Job(job, group, p, cutoffs[group]))
-    done = tr.run_jobs(tree_rows(data.withColumn("held", F.lit(False)), cfg, bins, rows), jobs, bins)
+    done = tr.run_jobs(tree_rows(data.withColumn("held", F.lit(False)), cfg, bins), jobs, bins)
     results, chosen = [], {}
     for job, (group, name, trial, params) in drawn.items():
         _, rounds, error = done.get(job, (None, 0, float("inf")))
