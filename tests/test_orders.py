@@ -343,3 +343,22 @@ def test_tiles_of_a_large_route_grow(rows):
     tiled = pairs._similarity_tiles(norms, 10)
     assert tiled.count() == 1600
     assert tiled.select("tile").distinct().count() <= 40
+
+
+def test_tiles_parted_by_pivots_are_not_met(rows):
+    """All buy the same items, so that no item's largest weight rules a tile out; the like ones lie about the same pivot."""
+    rng = random.Random(3)
+    data = []
+    for kind in range(16):
+        weights = [float(rng.randint(0, 3) ** 4 + 1) for _ in range(12)]
+        for n in range(24):
+            data += [("1", f"c{n:02d}{kind:02d}", f"i{i:02d}", w) for i, w in enumerate(weights)]
+    df = rows(data, "RouteCode string, CustomerCode string, ItemCode string, weight double")
+    met = []
+    compare = pairs._compare
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pairs, "_compare", lambda unit, asked, k, size: met.append((asked.count(), unit.select("tile").distinct().count())) or compare(unit, asked, k, size))
+        got = pairs.nearest_peers(df, df, 4, splits=Splits(similarity_block=24)).collect()
+    assert len(got) == 4 * 384 and all(x.peer[3:] == x.CustomerCode[3:] and x.sim == 1 for x in got)
+    home, away = met
+    assert home[1] >= 8 and away[0] < 384 * home[1] / 4

@@ -111,7 +111,7 @@ _SLACK = 1e-8  # similarities are rounded to nine decimals
 _GROW = 16  # a route has up to that many tiles of the set size; then tiles grow, up to that many times the size
 _ROWS = 2048  # customers of each side in one matrix product
 _DENSE_ITEMS = 8192
-_PIVOTS = 256  # customers of a route, at most, that the others are dealt to by similarity
+_PIVOTS = 32  # customers of a route, at most, that the others are dealt to by similarity: where nothing is ruled out, a target moves to every tile
 
 
 class _Vectors:
